@@ -6,22 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment_dedup, language_mix
-from .plan import table
+from . import containment_dedup, language_mix, line_dedup, secret_novelty, spaced_seeds, token_frames, warc_zstd
+from .plan import cut, table
 
 
 def op1_containment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_novelty.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_mix.language_mix(docs, language_mix.train(docs))
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tk")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.write_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives with a dictionary into the shared folder and read from there."""
+    pages = table(spark, sf_dir, "pages")
+    archives = cut(warc_zstd.write_archives(pages, warc_zstd.train_dictionary(pages)))
+    return warc_zstd.read_archives(archives).select("page_id", "target_uri", "warc_type", "content_length", "http_status", "payload", "valid")
+
+
+WARC_ORACLE = """
+SELECT page_id, url AS target_uri, CASE WHEN html IS NULL THEN 'metadata' ELSE 'response' END AS warc_type,
+  CAST(CASE WHEN html IS NULL THEN 0 ELSE strlen(html) + 77 + strlen(CAST(strlen(html) AS VARCHAR)) END AS BIGINT) AS content_length,
+  CAST(CASE WHEN html IS NULL THEN NULL ELSE 200 END AS INTEGER) AS http_status, html AS payload, true AS valid
+FROM pages
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_containment_dedup, op4_language_mix)}
+    found = (op1_containment_dedup, op2_secret_novelty, op4_language_mix, op6_spaced_seeds, op8_line_dedup, op9_token_frames, op10_warc_zstd)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op10_warc_zstd": WARC_ORACLE}
