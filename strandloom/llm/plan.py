@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def here(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; elsewhere ship it with ``--py-files``."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(":")
+    if root not in known:
+        environment["PYTHONPATH"] = ":".join([root, *filter(None, known)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    here(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,8 +7,9 @@ bytes that it adds to the zstandard compression of the text around it, primed
 with a dictionary of identifiers: ``C(before + candidate + after) - C(before +
 after)``.  Words, names, placeholders and repetitions are predicted by the
 dictionary or the surroundings and add little; random strings can't be and add
-nearly their length.  Candidates are reported that add ``min_bytes`` or more
-and at least ``min_ratio`` bytes a character.
+all that their alphabet can carry (half a byte a hexadecimal digit).  Candidates
+are reported that add ``min_bytes`` or more and at least ``min_ratio`` of that
+capacity.
 
 The dictionary is a fixed list of programming identifiers and the ``words``
 most frequent lower-case words (of 3 to 15 letters, in two windows or more) of
@@ -24,6 +25,7 @@ the result, only its place, a masked form and a fingerprint.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -53,6 +55,15 @@ def _classes(run: str) -> int:
     return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in body) + any(c in "+/_=-" for c in run.rstrip("="))
 
 
+def capacity(run: str) -> float:
+    """The bytes that a random string of this length and alphabet carries."""
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
+        size = 16
+    else:
+        size = 10 * any(c.isdigit() for c in run) + 26 * any(c.islower() for c in run) + 26 * any(c.isupper() for c in run) + 2 * any(not c.isalnum() for c in run)
+    return len(run) * math.log2(max(size, 2)) / 8
+
+
 def candidates(text: str, reach: int, window: int) -> Iterator[tuple[int, str, str, str, str]]:
     """(start, keyword, before, run, after) of each candidate of a text."""
     runs = None
@@ -80,7 +91,7 @@ def dictionary(found: DataFrame, words: int) -> bytes:
     return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
 
 
-def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 12, min_ratio: float = 0.5, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 12, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each incompressible string in a sensitive context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +112,9 @@ def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096,
             out = []
             for i, start, keyword, before, run, after in zip(*(batch.column(c).to_pylist() for c in ("i", "start", "keyword", "before", "run", "after"))):
                 n = added_bytes(compressor, before, run, after)
-                if n >= min_bytes and n >= min_ratio * len(run):
-                    out.append((i, start, len(run), keyword, n, n / len(run), f"{run[:2]}...{run[-2:]}", hashlib.sha256(run.encode()).hexdigest()))
+                novelty = n / capacity(run)
+                if n >= min_bytes and novelty >= min_ratio:
+                    out.append((i, start, len(run), keyword, n, novelty, f"{run[:2]}...{run[-2:]}", hashlib.sha256(run.encode()).hexdigest()))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string()]
             columns = list(zip(*out)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RESULT.split(", ")])
