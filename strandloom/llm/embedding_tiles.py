@@ -1,0 +1,187 @@
+"""Near-duplicate embeddings by PCA-ordered tiled comparison, exact over all pairs.
+
+Vectors are normalised and rotated into the eigenvectors of their second
+moments, largest first, so leading dimensions hold most of every product; the
+rotation keeps cosines.  Tiles hold vectors that are neighbours in the leading
+coordinates.  Two tiles are compared only if an upper bound from their
+coordinates' ranges and largest suffix norms reaches the threshold.  Within a
+pair of tiles, products are accumulated over the leading dimensions in steps;
+after each step, a pair whose partial product plus the product of its two
+suffix norms is below the threshold is dropped, and when few are left only
+they are continued.  What remains is verified in double precision.
+
+Tiles meet in the cells of a triangular grid of tile groups: the vectors of two
+groups (``group_tiles`` tiles each) are all that a task holds.  Every pair of
+tiles belongs to exactly one cell, and no pair is left out.
+
+Cases: vectors that are null, empty, zero, of another length than most, or that
+hold a null, NaN or infinity have no direction and match nothing.  Pairs have the smaller
+id first; vectors of the same id (repeated rows) aren't paired with each other,
+other repeated rows give their pair once.  Ties at the threshold match.  Null
+ids are left out.  An empty table gives an empty result.  Other columns aren't
+read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .plan import cut
+
+RESULT = "vec_a long, vec_b long, cosine double"
+SLACK = 2e-5
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _rotation(vectors: DataFrame, size: int) -> np.ndarray:
+    """Eigenvectors of the second moments, by falling eigenvalue; only size x size sums leave a task."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = _matrix(batch.column("e"), size)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            total += x.T @ x
+        at = np.arange(size)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total), pa.list_(pa.float64()))], ["r", "m"])
+
+    parts = vectors.select("e").mapInArrow(moments, "r long, m array<double>")
+    rows = parts.select("r", F.posexplode("m")).groupBy("r", "pos").agg(F.sum("col").alias("v")).toPandas()
+    total = np.zeros((size, size))
+    total[rows["r"], rows["pos"]] = rows["v"]
+    values, axes = np.linalg.eigh(total)
+    return axes[:, ::-1]
+
+
+def _bounds(x: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ranges of the leading coordinates and the largest norm of the rest."""
+    return x[:, :lead].min(0), x[:, :lead].max(0), float(np.sqrt((x[:, lead:] ** 2).sum(1)).max())
+
+
+def reach(a: tuple, b: tuple) -> float:
+    """An upper bound of the products between two tiles."""
+    ends = np.stack([a[0] * b[0], a[0] * b[1], a[1] * b[0], a[1] * b[1]])
+    return float(ends.max(0).sum() + a[2] * b[2])
+
+
+def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two rotated float32 matrices that may reach the threshold, by leading dimensions and suffix norms."""
+    done, goal = 0, np.float32(threshold - SLACK)
+    total, i, j = None, None, None
+    for stop in steps:
+        sa, sb = np.sqrt((a[:, stop:] ** 2).sum(1)), np.sqrt((b[:, stop:] ** 2).sum(1))
+        if i is None:
+            part = a[:, done:stop] @ b[:, done:stop].T
+            total = part if total is None else total + part
+            open_ = total + sa[:, None] * sb[None, :] >= goal
+            if open_.mean() < 0.02 or stop == steps[-1]:
+                i, j = np.nonzero(open_)
+                total = total[i, j]
+        else:
+            total = total + np.einsum("ij,ij->i", a[i, done:stop], b[j, done:stop])
+            keep = total + sa[i] * sb[j] >= goal
+            i, j, total = i[keep], j[keep], total[keep]
+        done = stop
+        if i is not None and not len(i):
+            break
+    return i, j
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024, group_tiles: int = 8, lead: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``RESULT``: all pairs of ids with a cosine of at least ``threshold``."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("e")).where("i IS NOT NULL AND e IS NOT NULL AND size(e) > 0")
+    finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = rows.where(finite & F.exists("e", lambda v: v != 0))
+    lengths = rows.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    size, count = max(((r.d, r.n) for r in lengths), key=lambda x: (x[1], x[0]))
+    rows = rows.where(F.size("e") == size)
+    lead = min(lead, size)
+    steps = sorted({*range(lead, size, max(lead, size // 4)), size})
+    axes = _rotation(rows, size)
+    tiles = max(1, -(-count // tile))
+    groups = max(1, -(-tiles // group_tiles))
+
+    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("e"), size)
+            y = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes
+            keys = [pa.array(y[:, k] if k < size else np.zeros(len(y))) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), *keys, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y.astype("<f4")], pa.binary())], ["i", "c0", "c1", "x", "y"])
+
+    turned = rows.mapInArrow(rotate, "i long, c0 double, c1 double, x binary, y binary")
+    # groups by range of the first coordinate, in them tiles by the second
+    ranged = turned.repartitionByRange(groups, "c0", "i").sortWithinPartitions("c1", "i").withColumn("g", F.spark_partition_id())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {"i": [], "x": [], "y": []}
+        number, group = 0, None
+
+        def row() -> pa.RecordBatch:
+            ids = np.array(held["i"], "<i8")
+            values = [[group], [number], [ids.tobytes()], [b"".join(held["x"])], [b"".join(held["y"])]]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["g", "tile", "ids", "x", "y"])
+
+        for batch in batches:
+            group = batch.column("g")[0].as_py() if batch.num_rows else group
+            for c in held:
+                held[c] += batch.column(c).to_pylist()
+            while len(held["i"]) >= tile:
+                rest = {c: v[tile:] for c, v in held.items()}
+                held = {c: v[:tile] for c, v in held.items()}
+                yield row()
+                held, number = rest, number + 1
+        if held["i"]:
+            yield row()
+
+    packed = cut(ranged.select("i", "x", "y", "g").mapInArrow(pack, "g int, tile int, ids binary, x binary, y binary"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    celled = packed.withColumn("o", other).withColumn("low", F.least("g", "o")).withColumn("high", F.greatest("g", "o"))
+    celled = celled.select((F.col("low").cast("long") * groups + F.col("high")).alias("cell"), "g", "tile", "ids", "x", "y")
+
+    def compare(tiles: list[tuple], cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, high = divmod(cell, groups)
+        out = []
+        for p, (ga, ta, ida, xa, ya, ba) in enumerate(tiles):
+            for gb, tb, idb, xb, yb, bb in tiles[p:]:
+                if low != high and ga == gb or reach(ba, bb) < threshold - SLACK:
+                    continue
+                i, j = tile_pairs(ya, yb, threshold, steps)
+                u, v = xa[i], xb[j]
+                cosine = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
+                keep = (cosine >= threshold) & (ida[i] != idb[j])
+                if (ga, ta) == (gb, tb):
+                    keep &= i < j
+                out.append((np.minimum(ida[i], idb[j])[keep], np.maximum(ida[i], idb[j])[keep], cosine[keep]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in compare(held, now)], ["vec_a", "vec_b", "cosine"])
+
+        for batch in batches:
+            for cell, g, t, ids, x, y in zip(*(batch.column(c).to_pylist() for c in ("cell", "g", "tile", "ids", "x", "y"))):
+                if cell != now and held:
+                    yield emit()
+                    held = []
+                now = cell
+                turned = np.frombuffer(y, "<f4").reshape(-1, size)
+                held.append((g, t, np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f8").reshape(-1, size), turned, _bounds(turned.astype(np.float64), lead)))
+        if held:
+            yield emit()
+
+    met = celled.repartition("cell").sortWithinPartitions("cell", "g", "tile").mapInArrow(cells, RESULT)
+    return met.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import containment_dedup, language_mix, line_dedup, secret_novelty, spaced_seeds, token_frames, warc_zstd
+from . import containment_dedup, embedding_tiles, language_mix, line_dedup, secret_novelty, spaced_seeds, temperature_mix, token_frames, toxic_neighbours, warc_zstd
 from .plan import cut, table
 
 
@@ -18,15 +19,41 @@ def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_novelty.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_tiles.similar_pairs(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
+EMBEDDING_ORACLE = """
+WITH v AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+n AS (SELECT i, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE len(e) = (SELECT mode(len(e)) FROM v))
+SELECT a.i AS vec_a, b.i AS vec_b, round(max(list_dot_product(a.e, b.e) / (a.s * b.s)), 6) AS cosine
+FROM n a JOIN n b ON a.i < b.i
+WHERE a.s > 0 AND b.s > 0 AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95
+GROUP BY 1, 2
+"""
+
+
 def op4_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_mix.language_mix(docs, language_mix.train(docs))
 
 
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are toxic with a probability of one half or more, all documents being scored."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxic_neighbours.fit(docs, table(spark, sf_dir, "labels"))
+    return toxic_neighbours.score(docs, index).where("toxic")
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tk")
 
 
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix.mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
 
@@ -51,9 +78,12 @@ FROM pages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_containment_dedup, op2_secret_novelty, op4_language_mix, op6_spaced_seeds, op8_line_dedup, op9_token_frames, op10_warc_zstd)
+    found = (
+        op1_containment_dedup, op2_secret_novelty, op3_embedding_tiles, op4_language_mix, op5_toxic_neighbours,
+        op6_spaced_seeds, op7_temperature_mix, op8_line_dedup, op9_token_frames, op10_warc_zstd,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op10_warc_zstd": WARC_ORACLE}
+    return {"op3_embedding_tiles": EMBEDDING_ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_warc_zstd": WARC_ORACLE}
