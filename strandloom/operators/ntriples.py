@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.mapping import VOCABULARY
+from .shared import checkpointed
 
 #: What earlier line counters take for a triple.
 LINE = r"^\s*[^#].*\.\s*$"
@@ -31,17 +32,27 @@ def _node(value: Column, kind: Column) -> Column:
     return F.when(kind == "blank", F.concat(F.lit("_:"), F.regexp_replace(value, "[^A-Za-z0-9]", "_"))).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
 
 
+def literal() -> Column:
+    """The object as an N-Triples literal."""
+    quoted = F.concat(F.lit('"'), escape(F.col("o")), F.lit('"'))
+    typed = F.concat(quoted, F.lit("^^<"), "o_datatype", F.lit(">"))
+    return F.when(F.col("o_language").isNotNull(), F.concat(quoted, F.lit("@"), "o_language")).when(F.col("o_datatype").isNotNull(), typed).otherwise(quoted)
+
+
+def nodes() -> tuple[Column, Column, Column]:
+    """Subject, predicate and object as N-Triples terms."""
+    o = F.when(F.col("o_kind") == "literal", literal()).otherwise(_node(F.col("o"), F.col("o_kind")))
+    return _node(F.col("s"), F.col("s_kind")), F.concat(F.lit("<"), "p", F.lit(">")), o
+
+
 def render(triples: DataFrame) -> DataFrame:
     """(value): one N-Triples line for each triple."""
-    quoted = F.concat(F.lit('"'), escape(F.col("o")), F.lit('"'))
-    literal = F.when(F.col("o_language").isNotNull(), F.concat(quoted, F.lit("@"), "o_language")).when(F.col("o_datatype").isNotNull(), F.concat(quoted, F.lit("^^<"), "o_datatype", F.lit(">"))).otherwise(quoted)
-    o = F.when(F.col("o_kind") == "literal", literal).otherwise(_node(F.col("o"), F.col("o_kind")))
-    return triples.select(F.concat(_node(F.col("s"), F.col("s_kind")), F.lit(" <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
+    return triples.select(F.concat_ws(" ", *nodes(), F.lit(".")).alias("value"))
 
 
-def count_lines(lines: DataFrame) -> DataFrame:
+def count_lines(lines: DataFrame, pattern: str = LINE) -> DataFrame:
     """(file, triples) of N-Triples text with columns file and value, and a row TOTAL."""
-    return lines.where(F.col("value").rlike(LINE)).rollup("file").agg(F.count(F.lit(1)).alias("triples")).withColumn("file", F.coalesce("file", F.lit("TOTAL")))
+    return lines.where(F.col("value").rlike(pattern)).rollup("file").agg(F.count(F.lit(1)).alias("triples")).withColumn("file", F.coalesce("file", F.lit("TOTAL")))
 
 
 def distinct_parts(parts: DataFrame) -> DataFrame:
@@ -50,29 +61,25 @@ def distinct_parts(parts: DataFrame) -> DataFrame:
     return parts.withColumn("n", F.row_number().over(W.partitionBy(h).orderBy("name"))).where("n = 1").drop("n")
 
 
-def encode_terms(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A dictionary (id, term) in order of term, and the triples as ids sorted by (s, p, o).
+def dictionary_of(terms: DataFrame) -> DataFrame:
+    """(id, term) from distinct terms: dense ids from 1 in order of term.
 
-    Ids are dense without a single-task sort: terms are range-partitioned, and
-    each partition's first id is the number of terms before it.
+    There is no single-task sort: terms are range-partitioned, and each
+    partition's first id is the number of terms before it.
     """
-    rows = render(triples).select(F.regexp_extract("value", r"^(\S+) (\S+) (.*) \.$", 1).alias("s"), F.regexp_extract("value", r"^(\S+) (\S+) (.*) \.$", 2).alias("p"), F.regexp_extract("value", r"(?s)^(\S+) (\S+) (.*) \.$", 3).alias("o"))
-    terms = rows.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct()
-    spark = triples.sparkSession
-    # fixed by the written copy: numbering again must meet the same partitions
-    placed = terms.repartitionByRange("term").sortWithinPartitions("term").select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="terms-")
-        spark.sparkContext.setCheckpointDir(folder)
-    placed = placed.checkpoint()
+    # a written copy fixes the partitions that the numbers depend on
+    placed = checkpointed(terms.repartitionByRange("term").sortWithinPartitions("term").select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", (before - F.col("first") + 1).alias("shift"))
-    dictionary = placed.join(starts, "part").select((F.col("at") + F.col("shift")).alias("id"), "term")
+    return placed.join(starts, "part").select((F.col("at") + F.col("shift")).alias("id"), "term")
+
+
+def encode_terms(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A dictionary (id, term), and the distinct triples as (s_id, p_id, o_id)."""
+    s, p, o = nodes()
+    rows = triples.select(s.alias("s"), p.alias("p"), o.alias("o"))
+    dictionary = dictionary_of(rows.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct())
     coded = rows
     for c in ("s", "p", "o"):
         coded = coded.join(dictionary.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c)
