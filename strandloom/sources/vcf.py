@@ -67,7 +67,8 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, SOURCE_FILE, block, at, value): every line, ``at`` rising within a block. Names are unique, so they stand for the files."""
     raw = spark.read.option("lineSep", "\n").text(paths)
     meta = F.col("_metadata")
-    return raw.select(meta["file_name"].alias("file"), meta["file_name"].alias("SOURCE_FILE"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    name = F.url_decode(F.replace(meta["file_name"], F.lit("+"), F.lit("%2B")))  # Spark gives it as part of a URI
+    return raw.select(name.alias("file"), name.alias("SOURCE_FILE"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
 def is_meta(value: Column) -> Column:
@@ -153,8 +154,8 @@ def read(spark: SparkSession, paths: list[str]) -> Variants:
 
 
 def invalid_text(placed: DataFrame) -> DataFrame:
-    """(file, n): lines with bytes that aren't UTF-8, which the reader replaced."""
-    return placed.where(F.contains("value", F.lit("�"))).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    """(file, n): lines with bytes that aren't UTF-8."""
+    return placed.where(~F.is_valid_utf8("value")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def declared_words(records: DataFrame) -> Column:

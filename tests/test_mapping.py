@@ -1,0 +1,115 @@
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.operators import ntriples
+from strandloom.plans.compiler import compile_mapping, encode_iri, parts_of
+from strandloom.plans.mapping import VOCABULARY, MappingError, Term, TriplesMap, default_mapping, iri
+from strandloom.plans.tables import load
+from strandloom.plans.turtle import load_mapping, parse
+
+HEAD = "@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ex: <urn:x#> .\n"
+PEOPLE = HEAD + """
+<#P> rml:logicalSource [ rml:source "/any/people.csv" ] ; rr:subjectMap [ rr:template "urn:p/{id}" ; rr:class ex:Person ] ;
+  rr:predicateObjectMap [ rr:predicate ex:name, ex:label ; rr:objectMap [ rml:reference "name" ; rr:language "en" ] ] ;
+  rr:predicateObjectMap [ rr:predicate ex:age ; rr:objectMap [ rml:reference "age" ; rr:datatype <urn:int> ] ] ;
+  rr:predicateObjectMap [ rr:predicate ex:in ; rr:objectMap [ rr:parentTriplesMap <#C> ; rr:joinCondition [ rr:child "city" ; rr:parent "code" ] ] ] ;
+  rr:predicateObjectMap [ rr:predicate ex:kind ; rr:object "human" ] .
+<#C> rml:logicalSource [ rml:source "cities.csv" ] ; rr:subjectMap [ rr:template "urn:c/{code}" ] .
+"""
+
+
+@pytest.fixture(scope="module")
+def variants(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("v")
+    rows = "".join(f"1\t{k}\t.\tA\tC\t.\tPASS\tI{k}\tGT:DP\t0/1:{k}\t1/1:9\n" for k in range(1, 8))
+    (d / "x y.vcf").write_text("##fileformat=V\n##source=s\n##reference=r\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n" + rows)
+    return load(spark, str(d))
+
+
+def test_triple_count_and_closure(variants):
+    h, r, s, k = 3, 7, 2, 2
+    t = compile_mapping(default_mapping(), variants).cache()
+    assert t.count() == 6 + 4 * h + 12 * r + 3 * r * s + 3 * r * s * k == t.distinct().count()
+    links = t.where(F.col("p").contains("#has")).select(F.col("o").alias("s")).distinct()
+    assert links.join(t, "s", "left_anti").count() == 0
+
+
+def test_rendered_lines(variants):
+    lines = {r.value for r in ntriples.render(ntriples.type_nulls(compile_mapping(default_mapping(), variants))).collect()}
+    s = "<file://x%20y.vcf#record/1>"
+    assert f'{s} <{VOCABULARY}chrom> "1" .' in lines
+    assert f'{s} <{VOCABULARY}pos> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .' in lines
+    assert f'{s} <{VOCABULARY}recordId> "."^^<{VOCABULARY}Null> .' in lines
+    assert f"{s} <{VOCABULARY}hasCall> <file://x%20y.vcf#call/1> ." in lines
+
+
+def test_no_shuffle_in_the_record_maps(variants):
+    only = [m for m in default_mapping() if m.source == "records"]
+    plan = compile_mapping(only, variants)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Union" not in plan
+
+
+def test_mapping_document(spark):
+    people = spark.createDataFrame([(1, "Ann", "30", "b"), (2, None, "x", "q")], "id int, name string, age string, city string")
+    cities = spark.createDataFrame([("b",), ("b",)], "code string")
+    got = {tuple(r)[::1] for r in compile_mapping(load_mapping(PEOPLE), {"people": people, "cities": cities}).select("s", "p", "o", "o_datatype", "o_language").collect()}
+    assert ("urn:p/1", "urn:x#label", "Ann", None, "en") in got and ("urn:p/1", "urn:x#age", "30", "urn:int", None) in got
+    assert ("urn:p/1", "urn:x#in", "urn:c/b", None, None) in got and ("urn:p/2", "urn:x#kind", "human", None, None) in got
+    assert not [g for g in got if g[0] == "urn:p/2" and g[1] in ("urn:x#name", "urn:x#in")]
+    assert len(got) == 2 * 3 + 2 + 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        HEAD,
+        HEAD + '<#A> rml:logicalSource [ rml:source "a.csv" ] ; rr:subjectMap [ rr:template "x{a}" ; rr:graphMap [ rr:constant ex:g ] ] .',
+        HEAD + '<#A> rr:subjectMap [ rr:template "x{a}" ] ; rml:logicalSource [ ] .',
+        HEAD + '<#A> rml:logicalSource [ rml:source "a.csv" ] ; rr:subjectMap [ rr:template "x" ; rr:constant ex:b ] .',
+        "<#A> zz:b 1 .",
+        "<#A> <#b> ",
+    ],
+)
+def test_refused_documents(text):
+    with pytest.raises(MappingError):
+        load_mapping(text)
+
+
+def test_turtle():
+    got = parse('@base <http://h/d/> . PREFIX : <#> <a> :p "x\\n\\u0041"@en, 1.5, (<b> "c") ; a :T . # end')
+    assert ("http://h/d/a", "http://h/d/#p", "x\nA") in got and ("http://h/d/a", "http://h/d/#p", "1.5") in got
+    assert ("http://h/d/a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://h/d/#T") in got
+
+
+def test_templates(spark):
+    assert parts_of(r"a\{b{c}d") == [(False, "a{b"), (True, "c"), (False, "d")]
+    for bad in ("a{b", "}", "{}", ""):
+        with pytest.raises(MappingError):
+            parts_of(bad)
+    df = spark.createDataFrame([("a b/c%é\U0001f600",)], "v string")
+    assert df.select(encode_iri(F.col("v"))).first()[0] == "a%20b%2Fc%25é\U0001f600"
+
+
+def test_unknown_column_and_table(spark):
+    t = spark.createDataFrame([(1,)], "a int")
+    m = TriplesMap("m", "t", Term(template="x{b}", kind="iri"), (), ((iri("p"), Term(reference="a")),))
+    with pytest.raises(MappingError, match="column b"):
+        compile_mapping([m], {"t": t})
+    with pytest.raises(MappingError, match="isn't one of"):
+        compile_mapping([m], {"u": t})
+
+
+def test_null_typing_and_escapes(spark):
+    rows = [("s", "iri", "p", o, "literal", d, None) for o, d in ((".", None), (".", "int"), ('x".', None), ('a\\b"\n\r', None), ("", None))]
+    t = spark.createDataFrame(rows, "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_language string")
+    got = [r.value for r in ntriples.render(ntriples.type_nulls(t, "v:")).collect()]
+    assert got == ['<s> <p> "."^^<v:Null> .', '<s> <p> "."^^<int> .', '<s> <p> "x\\"." .', '<s> <p> "a\\\\b\\"\\n\\r" .', '<s> <p> "" .']
+    assert ntriples.render(ntriples.type_nulls(t, "v:", strict=True)).collect()[1].value == '<s> <p> "."^^<v:Null> .'
+
+
+def test_dictionary(spark, variants):
+    t = compile_mapping(default_mapping(), variants)
+    dictionary, coded = ntriples.encode_terms(t)
+    d = {r.id: r.term for r in dictionary.collect()}
+    assert sorted(d) == list(range(1, len(d) + 1)) and [d[k] for k in sorted(d)] == sorted(d.values(), key=lambda x: x.encode())
+    assert {f"{d[r.s_id]} {d[r.p_id]} {d[r.o_id]} ." for r in coded.collect()} == {r.value for r in ntriples.render(t).collect()}
