@@ -198,9 +198,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame, sample: int = 512, size: int = 64 << 10, id_col: str = "page_id", html_col: str = "html") -> bytes:
-    """A zstandard dictionary from at most ``sample`` pages (those with the smallest id hashes); empty if they are too few."""
+    """A zstandard dictionary from at most ``sample`` pages (those with the smallest hashes of id and text); empty if they are too few."""
     rows = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).where("length(h) > 0")
-    chosen = rows.orderBy(F.xxhash64("i"), "i", F.xxhash64("h")).limit(sample).select(F.substring("h", 1, 8192).alias("h")).collect()
+    # ids first: a task's share of a sorted limit goes to the driver whole
+    picked = rows.select("i", F.xxhash64("i", "h").alias("k")).orderBy("k", "i").limit(sample).select("k")
+    chosen = rows.withColumn("k", F.xxhash64("i", "h")).join(F.broadcast(picked), "k", "left_semi").dropDuplicates(["k"]).select(F.substring("h", 1, 8192).alias("h")).orderBy("h").collect()
     try:
         return zstandard.train_dictionary(size, [r.h.encode() for r in chosen]).as_bytes() if len(chosen) >= 16 else b""
     except zstandard.ZstdError:
