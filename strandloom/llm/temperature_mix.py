@@ -74,12 +74,16 @@ def _source_key(source: F.Column) -> F.Column:
 
 def tokens_of(text: F.Column) -> F.Column:
     """The number of runs of non-blanks."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(F.length(plain) == 0, 0).otherwise(F.size(F.split(plain, " ", -1))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _plan(keyed: DataFrame, target_entropy: float, max_repeats: float, budget_ratio: float, block_tokens: int, seed: int) -> DataFrame:
-    """(s, block, epoch, place, left): which blocks are taken; ``left`` is the rest of the budget where it ends within the block.
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows; else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _plan(keyed: DataFrame, target_entropy: float, max_repeats: float, budget_ratio: float, block_tokens: int, seed: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(s, blocks) of the sources, and (s, block, epoch, place, left): which blocks are taken; ``left`` is the rest of the budget where it ends within the block.
 
     ``keyed`` has s, z (document hash) and n (tokens).
     """
@@ -93,6 +97,7 @@ def _plan(keyed: DataFrame, target_entropy: float, max_repeats: float, budget_ra
         whole = int(share // t) if t else 1
         rows.append((s, int(t), whole, int(share - whole * t) if t else 0, max(1, min(1 << 16, -(-int(t) // block_tokens)))))
     sources = spark.createDataFrame(rows, "s string, total long, whole int, rest long, blocks int")
+    sources = _small(sources, broadcast_rows)
     per_block = keyed.join(sources, "s").withColumn("block", F.pmod("z", F.col("blocks")).cast("int")).groupBy("s", "block").agg(F.sum("n").alias("n")).join(sources, "s")
     each = per_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
     order = W.partitionBy("s", "epoch").orderBy(F.xxhash64(F.lit(seed), "s", "epoch", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
@@ -100,21 +105,27 @@ def _plan(keyed: DataFrame, target_entropy: float, max_repeats: float, budget_ra
     taken = each.where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
     place = (F.col("epoch") * F.col("total") + F.col("before")) / F.greatest(F.col("whole") * F.col("total") + F.col("rest"), F.lit(1))
     left = F.when((F.col("epoch") == F.col("whole")) & (F.col("before") + F.col("n") > F.col("rest")), F.col("rest") - F.col("before"))
-    return taken.select("s", "block", "blocks", "epoch", place.cast("double").alias("place"), left.alias("left"))
+    return sources.select("s", "blocks"), taken.select("s", "block", "epoch", place.cast("double").alias("place"), left.alias("left"))
 
 
-def mixed(docs: DataFrame, target_entropy: float = 0.9, max_repeats: float = 4.0, budget_ratio: float = 1.0, block_tokens: int = 1 << 18, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` as a struct ``row``, with (s, z, n, block, epoch, place): one row for each copy in the mixture."""
+def mixed(docs: DataFrame, target_entropy: float = 0.9, max_repeats: float = 4.0, budget_ratio: float = 1.0, block_tokens: int = 1 << 18, seed: int = 17, broadcast_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """All columns of ``docs`` as a struct ``row``, with (s, z, block, epoch, place): one row for each copy in the mixture.
+
+    Texts are counted once, into a slim table that is kept; the documents then
+    meet the plan by (source, block) where they lie, the plan being broadcast
+    while it has at most ``broadcast_rows`` rows and shuffled with them beyond.
+    """
     text = F.col(text_col)
-    keyed = docs.select(F.struct("*").alias("row"), _source_key(F.col(source_col)).alias("s"), F.xxhash64(F.col(id_col).cast("long"), text).alias("z"), tokens_of(text).alias("n"))
-    plan = cut(_plan(keyed.select("s", "z", "n"), target_entropy, max_repeats, budget_ratio, block_tokens, seed))
-    sources = plan.select("s", "blocks").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), _source_key(F.col(source_col)).alias("s"), F.xxhash64(F.col(id_col).cast("long"), text).alias("z"))
+    counted = cut(docs.select(_source_key(F.col(source_col)).alias("s"), F.xxhash64(F.col(id_col).cast("long"), text).alias("z"), tokens_of(text).alias("n")))
+    sources, plan = _plan(counted, target_entropy, max_repeats, budget_ratio, block_tokens, seed, broadcast_rows)
+    plan = cut(plan)
     placed = keyed.join(sources, "s").withColumn("block", F.pmod("z", F.col("blocks")).cast("int")).drop("blocks")
-    inside = placed.join(plan.where("left IS NULL").drop("blocks", "left"), ["s", "block"])
+    inside = placed.join(_small(plan.where("left IS NULL").drop("left"), broadcast_rows), ["s", "block"])
     # one block for each source: documents while the rest of the budget lasts
-    ends = placed.join(plan.where("left IS NOT NULL").drop("blocks"), ["s", "block"])
+    ends = placed.join(_small(plan.where("left IS NOT NULL"), broadcast_rows), ["s", "block"]).withColumn("n", tokens_of(F.col("row")[text_col]))
     reached = F.sum("n").over(W.partitionBy("s", "block", "epoch").orderBy("z").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ends = ends.withColumn("reached", reached).where("reached <= left").drop("reached", "left")
+    ends = ends.withColumn("reached", reached).where("reached <= left").drop("reached", "left", "n")
     return inside.unionByName(ends)
 
 
