@@ -39,7 +39,7 @@ from .textkit import chunks
 
 KEYWORD = r"(?:api|access|secret|private|auth|client|session|encryption|signing)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passphrase|pwd|credentials?|bearer|authorization"
 _KEYWORD = re.compile(KEYWORD, re.IGNORECASE)
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 IDENTIFIERS = (
     "function return const static public private class import from default export async await string number boolean object value index length result response request "
     "client server config settings options password passwd secret token access_key api_key apikey private_key authorization bearer credentials username user_name "
@@ -65,7 +65,7 @@ def capacity(run: str) -> float:
 
 
 def candidates(text: str, reach: int, window: int) -> Iterator[tuple[int, str, str, str, str]]:
-    """(start, keyword, before, run, after) of each candidate of a text."""
+    """(start, keyword, before, run, after) of each candidate of a text; other copies of the run are cut out of what surrounds it."""
     runs = None
     words = list(_KEYWORD.finditer(text))
     k = 0
@@ -75,7 +75,9 @@ def candidates(text: str, reach: int, window: int) -> Iterator[tuple[int, str, s
             k += 1
         runs = words[k]
         if runs.end() <= start <= runs.end() + reach and _classes(run.group()) >= 2:
-            yield start, runs.group().lower(), text[max(0, start - window) : start], run.group(), text[end : end + window // 2]
+            # a secret that stands there twice is no more predictable for that
+            before, after = text[max(0, start - window) : start], text[end : end + window // 2]
+            yield start, runs.group().lower(), before.replace(run.group(), " "), run.group(), after.replace(run.group(), " ")
 
 
 def added_bytes(compressor: zstandard.ZstdCompressor, before: str, run: str, after: str) -> int:
@@ -91,7 +93,7 @@ def dictionary(found: DataFrame, words: int) -> bytes:
     return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
 
 
-def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 12, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 14, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each incompressible string in a sensitive context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,74 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from strandloom.llm import temperature_mix as M
+
+from .common import awkward, clashing, rows_of, sentence, table
+
+
+@pytest.fixture(scope="module")
+def docs():
+    rng = random.Random(2)
+    sizes = {"big": 400, "mid": 80, "small": 20, None: 10}
+    rows = [(s, sentence(rng, n=rng.choice([5, 20, 60]))) for s, n in sizes.items() for _ in range(n)]
+    return [(k, t, "en", s, None) for k, (s, t) in enumerate(rows)]
+
+
+def totals(docs):
+    out = Counter()
+    for _, t, _, s, _ in docs:
+        out["n" if s is None else "s" + s] += len((t or "").split())
+    return dict(out)
+
+
+def test_alpha_meets_entropy_or_limit(docs):
+    t = totals(docs)
+    entropy = lambda a: -sum(w * math.log(w) for w in M.tempered(t, a).values())
+    a = M.find_alpha(t, 0.9, 1e9, 1.0)
+    assert 0 < a < 1 and abs(entropy(a) - 0.9 * math.log(4)) < 1e-9
+    b = M.find_alpha(t, 0.9, 3.0, 1.0)
+    assert abs(max(w * sum(t.values()) / t[s] for s, w in M.tempered(t, b).items()) - 3.0) < 1e-6 and b > a
+    assert M.find_alpha({"x": 5}, 0.9, 2, 1) == M.find_alpha({}, 0.9, 2, 1) == M.find_alpha({"x": 5, "y": 5}, 0.9, 2, 1) == 1.0
+
+
+@pytest.mark.parametrize("ratio", [1.0, 0.3])
+def test_budgets_are_met(spark, docs, ratio):
+    t, words = totals(docs), {i: len(x.split()) for i, x, *_ in docs}
+    got = M.mixture(table(spark, docs), budget_ratio=ratio, block_tokens=200).collect()
+    a = M.find_alpha(t, 0.9, 4.0, ratio)
+    want = {s: w * ratio * sum(t.values()) for s, w in M.tempered(t, a).items()}
+    spent, copies = Counter(), defaultdict(Counter)
+    for r in got:
+        s = "n" if r.source is None else "s" + r.source
+        spent[s] += words[r.doc_id]
+        copies[s][r.doc_id] += 1
+    for s, budget in want.items():
+        assert budget - 61 <= spent[s] <= budget  # at most a document short
+        whole = int(budget // t[s])
+        sizes = [copies[s][i] for i, _, _, x, _ in docs if ("n" if x is None else "s" + x) == s]
+        assert set(sizes) <= {whole, whole + 1}  # whole epochs, and part of one more
+    assert len({(r.doc_id, r.epoch) for r in got}) == len(got) and all(0 <= r.place < 1 for r in got)
+
+
+def test_every_stretch_has_the_sources_in_proportion(spark, docs):
+    got = M.mixture(table(spark, docs), block_tokens=100).collect()
+    part = [r for r in got if r.place < 0.5 and r.source == "big"]
+    assert 0.35 < len(part) / sum(r.source == "big" for r in got) < 0.65
+
+
+def test_small_and_large_plans_agree(spark, docs):
+    a, b = (rows_of(M.mixture(table(spark, docs).repartition(n), block_tokens=200, broadcast_rows=rows)) for n, rows in ((1, 10**6), (5, 0)))
+    assert a == b
+
+
+def test_awkward_rows(spark):
+    docs = clashing(table(spark, awkward()))
+    got = M.remix(docs, block_tokens=50)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    ids = {r.doc_id for r in got.collect()}
+    assert ids <= {r.doc_id for r in docs.collect()} and M.mixture(table(spark, [])).count() == 0 == M.remix(table(spark, [])).count()
+    one = table(spark, [(k, "a b c", "en", "only", None) for k in range(7)] + [(9, None, "en", "only", None), (9, "", "en", "only", None)])
+    assert rows_of(M.remix(one), "doc_id") == [(k,) for k in range(7)] + [(9,), (9,)]
