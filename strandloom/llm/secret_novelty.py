@@ -4,8 +4,9 @@ A candidate is a run of 16 or more key characters, of at least two classes
 (digits, lower case, upper case after the first letter, symbols), that follows
 a sensitive word within ``reach`` characters.  Its novelty is the number of
 bytes that it adds to the zstandard compression of the text around it, primed
-with a dictionary of identifiers: ``C(before + candidate + after) - C(before +
-after)``.  Words, names, placeholders and repetitions are predicted by the
+with a dictionary of identifiers, beyond what one repeated letter in its place adds (so
+that the cost of cutting into the surroundings doesn't count): ``C(before +
+candidate + after) - C(before + "x...x" + after)``.  Words, names, placeholders and repetitions are predicted by the
 dictionary or the surroundings and add little; random strings can't be and add
 all that their alphabet can carry (half a byte a hexadecimal digit).  Candidates
 are reported that add ``min_bytes`` or more and at least ``min_ratio`` of that
@@ -81,8 +82,9 @@ def candidates(text: str, reach: int, window: int) -> Iterator[tuple[int, str, s
 
 
 def added_bytes(compressor: zstandard.ZstdCompressor, before: str, run: str, after: str) -> int:
-    """Bytes that the run adds to the compression of what surrounds it."""
-    return len(compressor.compress((before + run + after).encode())) - len(compressor.compress((before + after).encode()))
+    """Bytes that the run adds to the compression of what surrounds it, beyond those of a repeated letter."""
+    size = lambda x: len(compressor.compress((before + x + after).encode()))
+    return size(run) - size("x" * len(run))
 
 
 def dictionary(found: DataFrame, words: int) -> bytes:
@@ -93,7 +95,7 @@ def dictionary(found: DataFrame, words: int) -> bytes:
     return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
 
 
-def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 14, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 8, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each incompressible string in a sensitive context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
