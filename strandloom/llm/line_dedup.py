@@ -52,7 +52,22 @@ def _h2() -> F.Column:
     return F.xxhash64(F.lit(7), F.col("line"))
 
 
-def _contexts(line: F.Column, segments: int) -> F.Column:
+def _halves(lines: DataFrame) -> DataFrame:
+    """(h1, key): the halves that a line may share with one an edit away, that one being as long, longer or shorter.
+
+    With n characters and the shorter line's half rounded down, they are: the
+    first n/2; the first n/2 - 1 of an even n, or the last n/2 of an odd one;
+    and the last n/2, rounded up.
+    """
+    sized = lines.select(_h1().alias("h1"), "line", F.char_length("line").alias("n"))
+    c = F.expr("n div 2").cast("int")
+    first = lambda k: F.xxhash64(F.lit(0), k, F.substr("line", F.lit(1), k))
+    last = lambda k: F.xxhash64(F.lit(1), k, F.substr(F.col("line"), F.col("n") - k + 1))
+    keys = F.array(first(c), F.when(F.col("n") % 2 == 0, first(c - 1)).otherwise(last(c)), last(F.col("n") - c))
+    return sized.select("h1", F.explode(keys).alias("key"))
+
+
+def _contexts(line: F.Column, segments: int = SEGMENTS) -> F.Column:
     """(before, after, key) for each segment that an edit may lie in: the lengths of what is equal around it and its hash."""
     size = F.char_length(line)
 
@@ -62,8 +77,6 @@ def _contexts(line: F.Column, segments: int) -> F.Column:
         key = F.xxhash64(before, after, F.substr(line, F.lit(1), before), F.substr(line, size - after + 1, after))
         return F.struct(before.alias("before"), after.alias("after"), key.alias("key"))
 
-    if segments == 2:
-        return F.array_distinct(F.array(*[one(m, F.lit(j)) for m in (size, size - 1) for j in range(2)]))
     each = F.sequence(F.lit(0), F.lit(2 * segments - 1))
     return F.array_distinct(F.transform(each, lambda x: one(size - F.floor(x / segments), x % segments)))
 
@@ -76,11 +89,10 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h1, h2, near): the earliest line within one edit of a distinct line, if it is earlier."""
-    half = lines.select(_h1().alias("h1"), F.explode(F.transform(_contexts(F.col("line"), 2), lambda c: c["key"])).alias("key"))
-    going = _shared(half).select("h1").distinct()
+    going = _shared(_halves(lines)).select("h1").distinct()
     keyed = lines.select(_h1().alias("h1"), _h2().alias("h2"), "line")
     texts = cut(keyed.join(going, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
-    inner = texts.select("h1", "h2", F.explode(_contexts(F.col("line"), SEGMENTS)).alias("c")).select("h1", "h2", F.col("c.before").alias("before"), F.col("c.after").alias("after"), F.col("c.key").alias("key"))
+    inner = texts.select("h1", "h2", F.explode(_contexts(F.col("line"))).alias("c")).select("h1", "h2", F.col("c.before").alias("before"), F.col("c.after").alias("after"), F.col("c.key").alias("key"))
     close = _shared(inner).join(texts, ["h1", "h2"])
     middle = F.substr("line", F.col("before") + 1, F.char_length("line") - F.col("before") - F.col("after"))
     close = close.select("h1", "h2", "key", middle.alias("gap"))
