@@ -38,7 +38,7 @@ def test_full_run(spark, inputs, tmp_path):
 
 def test_batch_layout_and_rules(spark, inputs, tmp_path):
     rules = tmp_path / "own.ttl"
-    rules.write_text('@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . <#M> rml:logicalSource [ rml:source "records.tsv" ] ; rr:subjectMap [ rr:template "urn:r/{ROW_ID}" ; rr:class <urn:R> ] .')
+    rules.write_text('@prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix rr: <http://www.w3.org/ns/r2rml#> . <#M> rml:logicalSource [ rml:source "records.tsv" ] ; rr:subjectMap [ rr:template "urn:r/{ROW_ID}" ; rr:class <urn:R> ] .')
     assert main(["-i", str(inputs / "good.vcf"), "-o", str(tmp_path / "o"), "-l", "batch", "-c", "none", "-r", str(rules), "-n", "own", "-P", "1"], spark) == 0
     parts = os.listdir(tmp_path / "o" / "own" / "own")
     text = "".join((tmp_path / "o" / "own" / "own" / p).read_text() for p in parts if p.endswith(".nt"))

@@ -7,7 +7,7 @@ from strandloom.plans.mapping import VOCABULARY, MappingError, Term, TriplesMap,
 from strandloom.plans.tables import load
 from strandloom.plans.turtle import load_mapping, parse
 
-HEAD = "@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ex: <urn:x#> .\n"
+HEAD = "@prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix ex: <urn:x#> .\n"
 PEOPLE = HEAD + """
 <#P> rml:logicalSource [ rml:source "/any/people.csv" ] ; rr:subjectMap [ rr:template "urn:p/{id}" ; rr:class ex:Person ] ;
   rr:predicateObjectMap [ rr:predicate ex:name, ex:label ; rr:objectMap [ rml:reference "name" ; rr:language "en" ] ] ;
