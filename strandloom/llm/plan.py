@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 def here(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; elsewhere ship it with ``--py-files``."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; ten thousand texts are much for a worker
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:
@@ -44,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, already computed and of a few narrow columns, to be broadcast if it has at most ``rows`` rows; else it is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_key(text) -> F.Column:
     """A 64-bit key of a text; with the document's id it names a row. A null text has a key of its own."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan import cut, text_key
+from .plan import cut, small, text_key
 from .textkit import Tokens, as_int64, chunks, list_array, mix64
 
 #: Weight 6 in a span of 9 to 12: one of them survives any two substitutions in 15 tokens or more.
@@ -181,4 +181,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     plain = [f"_c{n}" for n in range(len(names))]
     rows = docs.toDF(*plain)
     same = F.col(plain[names.index(id_col)]).cast("long").eqNullSafe(F.col("i")) & (text_key(F.col(plain[names.index(text_col)])) == F.col("tk"))
-    return rows.join(found, same, "left_anti").toDF(*names)
+    return rows.join(small(found), same, "left_anti").toDF(*names)

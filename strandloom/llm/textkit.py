@@ -22,7 +22,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled by one kernel call; bounds the temporaries (about 60 bytes each).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = True
