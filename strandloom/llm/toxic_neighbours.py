@@ -259,9 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2048, k: int = 51,
         return index
     place = {int(i): at for at, i in enumerate(index.ids)}
     alone = []
-    for a in range(0, len(texts), 512):
-        part = np.array([place[int(i)] for i in ids[a : a + 512]])
-        alone.append(votes(index, *nearest(index, texts[a : a + 512], k, part)))
+    for a in range(0, len(texts), 96):
+        part = np.array([place[int(i)] for i in ids[a : a + 96]])
+        alone.append(votes(index, *nearest(index, texts[a : a + 96], k, part)))
     sizes = np.bincount(y, minlength=2)
     weight = np.array([frequency.get(c, 0) / max(1, sizes[c]) for c in range(2)])
     index.steps = isotonic(np.concatenate(alone), y.astype(float), weight[y])
@@ -274,7 +274,7 @@ def score(docs: DataFrame, index: Index, k: int = 51, threshold: float = 0.5, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for batch in chunks(batches, "t", 1 << 20):
+        for batch in chunks(batches, "t", 1 << 18):
             top, cosine = nearest(ix, batch.column("t").to_pylist(), k)
             vote = votes(ix, top, cosine)
             level = np.maximum(np.searchsorted(ix.steps[0], vote, side="right") - 1, 0)
