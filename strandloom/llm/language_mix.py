@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .textkit import chunks
+from .textkit import CHUNK_BYTES, chunks
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -64,12 +64,12 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return buckets, first, offsets
 
 
-def train(docs: DataFrame, sample_per_language: int = 400, max_languages: int = 64, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, sample_per_language: int = 400, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit the trigram tables on at most ``sample_per_language`` labelled rows of each language.
 
     The sample is the rows with the smallest hash of the id, so it doesn't
-    depend on partitioning.  The ``max_languages`` most frequent labels get a
-    table (ties by name).
+    depend on partitioning.  Every label with a trigram in its sample gets a
+    table.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL AND i IS NOT NULL")
     order = W.partitionBy("l").orderBy(F.xxhash64("i"), "i")
@@ -88,13 +88,12 @@ def train(docs: DataFrame, sample_per_language: int = 400, max_languages: int =
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g), pa.array(total[g])], ["l", "g", "n"])
 
     rows = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
-    sizes = rows.groupby("l")["n"].sum() if len(rows) else {}
-    languages = tuple(sorted(sorted(sizes.keys(), key=lambda x: (-sizes[x], x))[:max_languages]))
+    parts = dict(list(rows.groupby("l"))) if len(rows) else {}
+    languages = tuple(sorted(parts))
     table = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), dtype=np.float32)
     for k, lang in enumerate(languages):
-        part = rows[rows["l"] == lang]
         c = np.full(BUCKETS, smoothing)
-        c[part["g"].to_numpy()] += part["n"].to_numpy()
+        c[parts[lang]["g"].to_numpy()] += parts[lang]["n"].to_numpy()
         table[:, k] = np.log(c / c.sum())
     return Model(languages, table)
 
@@ -169,6 +168,11 @@ def infer(texts: list[str | None], model: Model, penalty: float = 3.0, rounds: i
     return shares, n_words
 
 
+def _limit(model: Model) -> int:
+    """Bytes of text to score at once, fewer when many languages widen the scores."""
+    return CHUNK_BYTES * 16 // max(16, len(model.languages) + 1)
+
+
 def _broadcast(spark: SparkSession, model: Model) -> Broadcast:
     return spark.sparkContext.broadcast(model)
 
@@ -185,7 +189,7 @@ def language_mix(docs: DataFrame, model: Model, min_share: float = 0.5, penalty:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = [*m.languages, UND]
-        for batch in chunks(batches, "t"):
+        for batch in chunks(batches, "t", _limit(m)):
             shares, n = infer(batch.column("t").to_pylist(), m, penalty)
             known = shares[:, :-1].sum(1)
             lang, sets = [], []
@@ -207,7 +211,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 0.5, penal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, _limit(m)):
             shares, n = infer(batch.column(text_col).to_pylist(), m, penalty)
             yield batch.filter(pa.array((n > 0) & (shares[:, :-1].sum(1) >= min_share)))
 

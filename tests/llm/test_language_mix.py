@@ -69,3 +69,13 @@ def test_sample_bound_does_not_depend_on_partitions(spark, labelled):
     a = L.train(table(spark, labelled).repartition(1), sample_per_language=10)
     b = L.train(table(spark, labelled).repartition(7), sample_per_language=10)
     assert a.languages == b.languages and (a.table == b.table).all()
+
+
+def test_every_label_gets_a_table(spark):
+    rng = random.Random(6)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(40)), lang, "s", None) for k, lang in enumerate(list(words) * 3)]
+    model = L.train(table(spark, rows))
+    assert model.languages == tuple(sorted(words))
+    found = {r.doc_id: r for r in L.language_mix(table(spark, rows), model).collect()}
+    assert all(found[k].lang == lang and found[k].accepted for k, _, lang, *_ in rows)
