@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .plan import cut
+from .textkit import tidy
 
 RESULT = "vec_a long, vec_b long, cosine double"
 SLACK = 2e-5
@@ -44,6 +45,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def _rotation(vectors: DataFrame, size: int) -> np.ndarray:
     """Eigenvectors of the second moments, by falling eigenvalue; only size x size sums leave a task."""
 
+    @tidy
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
@@ -111,6 +113,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
     tiles = max(1, -(-count // tile))
     groups = max(1, -(-tiles // group_tiles))
 
+    @tidy
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("e"), size)
@@ -122,6 +125,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
     # groups by range of the first coordinate, in them tiles by the second
     ranged = turned.repartitionByRange(groups, "c0", "i").sortWithinPartitions("c1", "i").withColumn("g", F.spark_partition_id())
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"i": [], "x": [], "y": []}
         number, group = 0, None
@@ -165,6 +169,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
                 out.append((np.minimum(ida[i], idb[j])[keep], np.maximum(ida[i], idb[j])[keep], cosine[keep]))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
+    @tidy
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None

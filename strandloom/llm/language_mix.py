@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .textkit import CHUNK_BYTES, chunks
+from .textkit import CHUNK_BYTES, chunks, tidy
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -76,6 +76,7 @@ def train(docs: DataFrame, sample_per_language: int = 400, smoothing: float = 0.
     chosen = labelled.select("i", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_per_language).select("i", "l")
     sample = labelled.join(F.broadcast(chosen), ["i", "l"], "left_semi")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in chunks(batches, "t"):
@@ -186,6 +187,7 @@ def language_mix(docs: DataFrame, model: Model, min_share: float = 0.5, penalty:
     """
     shared = _broadcast(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = [*m.languages, UND]
@@ -209,6 +211,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 0.5, penal
     """The rows of ``docs`` whose text is accepted, with all their columns; no shuffle."""
     shared = _broadcast(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in chunks(batches, text_col, _limit(m)):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .plan import cut
-from .textkit import chunks
+from .textkit import chunks, tidy
 
 KEYWORD = r"(?:api|access|secret|private|auth|client|session|encryption|signing)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passphrase|pwd|credentials?|bearer|authorization"
 _KEYWORD = re.compile(KEYWORD, re.IGNORECASE)
@@ -98,6 +98,7 @@ def dictionary(found: DataFrame, words: int) -> bytes:
 def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 8, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each incompressible string in a sensitive context."""
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             out = [(i, *c) for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()) for c in candidates(t, reach, window)]
@@ -110,6 +111,7 @@ def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096,
     found = cut(sensitive.mapInArrow(find, "i long, start int, keyword string, before string, run string, after string"))
     primed = dictionary(found, words)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
         for batch in batches:

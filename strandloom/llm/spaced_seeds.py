@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .plan import cut, small, text_key
-from .textkit import Tokens, as_int64, chunks, list_array, mix64
+from .textkit import Tokens, as_int64, chunks, list_array, mix64, tidy
 
 #: Weight 6 in a span of 9 to 12: one of them survives any two substitutions in 15 tokens or more.
 MASKS = ("111001011", "110100110001", "101110000111")
@@ -70,6 +70,7 @@ def _short_masks(items: DataFrame) -> list[str]:
     most = max(map(len, MASKS))
     limit = most - 1
 
+    @tidy
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             n = np.unique(np.diff(Tokens(batch.column("t").to_pylist()).offsets))
@@ -82,6 +83,7 @@ def _seed_table(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """(h, item, p) of all seeds of the items; the masks of short lengths only apply to items of such a length."""
     short = masks[len(MASKS) :]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             tokens = Tokens(batch.column("t").to_pylist())
@@ -135,6 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_bitmap(table))
 
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in chunks(batches, "t"):
@@ -157,6 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
     by_item = joined.groupBy("row", "item").agg(F.collect_list("d").alias("ds")).join(items.select("item", "item_id", F.col("t").alias("it")), "item")
     by_row = by_item.groupBy("row").agg(F.collect_list(F.struct("item", "item_id", "it", "ds")).alias("found"))
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             out = []

@@ -13,7 +13,9 @@ run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-#: Bytes of text handled by one kernel call; bounds the temporaries (about 60 bytes each).
+#: Bytes of text handled by one kernel call; bounds the temporaries (about 20 bytes each).
 CHUNK_BYTES = 1 << 20
+#: Bytes hashed at once within a call; bounds the table of powers and the prefix sums (about 40 bytes each).
+SPAN_BYTES = 1 << 17
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = True
@@ -58,20 +62,61 @@ class _Powers:
                 setattr(self, name, np.multiply.accumulate(a))
         return self.up[:n], self.down[:n]
 
+    def shrink(self) -> None:
+        """Forget what a span longer than usual made necessary."""
+        self.up, self.down = self.up[: 2 * SPAN_BYTES].copy(), self.down[: 2 * SPAN_BYTES].copy()
+
 
 _POWERS = _Powers(_BASE)
 _POWERS2 = _Powers(0xD6E8FEB86659FD93)
 
 
+def release() -> None:
+    """Give back to the system what a task leaves in this worker: workers live on and take other tasks."""
+    for powers in (_POWERS, _POWERS2):
+        powers.shrink()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that cleans up after itself."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hash the byte spans ``data[starts[i]:ends[i]]``; equal spans get equal hashes."""
-    if not len(starts):
-        return np.empty(0, dtype=U64)
-    up, down = (_POWERS2 if second else _POWERS).to(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    """Hash the spans ``data[starts[i]:ends[i]]``, given in order; equal spans get equal hashes.
+
+    Neighbouring spans share a prefix sum of about ``SPAN_BYTES``, so that only
+    a longer span needs more memory.
+    """
+    out = np.empty(len(starts), dtype=U64)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + SPAN_BYTES, side="right")))
+        part = data[low : int(ends[b - 1])].astype(U64)
+        up, down = (_POWERS2 if second else _POWERS).to(len(part) + 1)
+        total = np.empty(len(part) + 1, dtype=U64)
+        total[0] = 0
+        part += U64(1)
+        part *= up[:-1]
+        np.cumsum(part, out=total[1:])
+        at = starts[a:b] - low
+        out[a:b] = mix64((total[ends[a:b] - low] - total[at]) * down[at])
+        a = b
+    return out
 
 
 class Tokens:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import chunks, span_hashes
+from .textkit import chunks, span_hashes, tidy
 
 SEEK_MAGIC, SKIPPABLE = 0x8F92EAB1, 0x184D2A5E
 NULL_ID = -(1 << 63)
@@ -46,7 +46,7 @@ RESULT = "shard string, n_docs long, n_tokens long, doc_ids array<long>, data bi
 class Encoder:
     """Byte-level BPE of whole batches; equal pieces are encoded once."""
 
-    def __init__(self, path: str = TOKENIZER, most_pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str = TOKENIZER, most_pieces: int = 300_000) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
@@ -201,6 +201,7 @@ def read_frames(data: bytes, numbers: list[int]) -> list[bytes]:
 def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, shard_bytes: int = 8 << 20, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each shard, with the whole of its bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -232,6 +233,7 @@ def read_documents(shards: DataFrame, wanted: DataFrame | None = None, dtype: st
         rows = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = rows.groupBy("shard").agg(F.sort_array(F.collect_list("n")).alias("ns"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ns, data in zip(batch.column("ns").to_pylist(), batch.column("data").to_pylist()):

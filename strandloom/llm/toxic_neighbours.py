@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textkit import Tokens, chunks
+from .textkit import Tokens, chunks, tidy
 
 BLOCK = 64
 RESULT = "doc_id long, probability double, vote double, toxic boolean, evidence string"
@@ -240,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2048, k: int = 51,
     vocabulary = vocabulary[(n >= min(min_df, max(1, len(texts) // 50))) & (n <= max(1.0, max_df * len(texts)))]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = shared.value, 0
         df = np.zeros(len(words), np.int64)
@@ -272,6 +273,7 @@ def score(docs: DataFrame, index: Index, k: int = 51, threshold: float = 0.5, id
     """``RESULT`` for each row; ``evidence`` lists the nearest examples as ``id:cosine:class``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in chunks(batches, "t", 1 << 18):

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import tidy
+
 DICT_MAGIC, ZSTD_MAGIC, RAW_DICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 FIELDS = (
@@ -176,6 +178,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def read_archives(files: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """``SCHEMA`` rows from (path, content) rows, as the ``binaryFile`` source gives them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -225,6 +228,7 @@ def format_record(page_id: int | None, url: str | None, html: str | None) -> byt
 def write_archives(pages: DataFrame, dictionary: bytes = b"", archive_bytes: int = 8 << 20, level: int = 3, compress_dictionary: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(path, content) rows of archives of about ``archive_bytes``, one frame for each page, without a shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -266,6 +270,7 @@ def save(archives: DataFrame, folder: str) -> None:
         raise ValueError("archives are written by file path: mount the shared folder, or write the rows as Parquet")
     os.makedirs(parsed.path, exist_ok=True)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
