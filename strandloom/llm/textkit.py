@@ -28,10 +28,10 @@ CHUNK_BYTES = 1 << 20
 #: Bytes hashed at once within a call; bounds the table of powers and the prefix sums (about 40 bytes each).
 SPAN_BYTES = 1 << 17
 
-_WORD = np.zeros(256, dtype=bool)
-_WORD[48:58] = True
-_WORD[97:123] = True
-_WORD[128:] = True
+WORD = np.zeros(256, dtype=bool)
+WORD[48:58] = True
+WORD[97:123] = True
+WORD[128:] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ class Tokens:
     def __init__(self, texts: list[str | None]) -> None:
         lowered = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
         self.data = data = np.frombuffer(b"\n".join(lowered) + b"\n", dtype=np.uint8)
-        word = _WORD[data]
+        word = WORD[data]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edge = np.concatenate(([0], edge))

@@ -1,30 +1,38 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes at most ``per_class`` labelled documents of each class (those
-with the smallest id hashes), which bounds the index; inverse document
-frequencies are counted over all documents.  The vector space is the fitted
-vocabulary: terms in ``min_df`` examples or more and in at most ``max_df`` of
-them, weighted ``(1 + ln tf) * ln((N + 1) / (df + 1))`` and normalised.
+with the smallest id hashes), which bounds the index.
+
+Terms are what words are made of, so that inflected and run-together forms of a
+word meet: the four-byte grams of the words with a blank on either side, and the
+words' beginnings of 4 to 12 bytes.  The vector space has the terms whose
+presence in an example depends on its label: a chi-squared statistic of one
+degree of freedom of at least ``min_chi2`` (15.1: one in ten thousand by
+chance); all other terms are missing from products and norms.  Weights are
+``(1 + ln tf) * ln((N + 1) / (df + 1))``, normalised, with document frequencies
+counted over all documents.
 
 The inverted index lists each term's examples in blocks of ``BLOCK`` and holds
 the largest weight of each (term, block).  For a document, the sum of its
 weights times these maxima bounds the cosine with any example of a block.
 Blocks are scored in falling order of the bound until no unscored block's bound
 reaches the ``k``-th best cosine, so the neighbours are exactly those of a full
-comparison; examples are ordered so that similar ones share blocks.
+comparison; examples are ordered so that similar ones share blocks.  Lists that
+most blocks have entries of are kept as dense rows, and are used for the scored
+blocks only, too.
 
 The vote is the share of the neighbours' cosines that toxic ones hold.  Votes
 become probabilities by isotonic regression of the examples' own leave-one-out
 votes, weighted so that the classes have the frequencies of all labels.
 
-Cases: a null text, or one without a term of the vocabulary, has no neighbours
-and gets probability 0.  Labels with a null id or class, and labels without a
+Cases: a null text, or one without a term of the space, has no neighbours and
+gets probability 0.  Labels with a null id or class, and labels without a
 document, are left out; of several labels of one id the most toxic counts, and
-of several texts the first.  Equal cosines are ordered by the example's place
-in the index.  Repeated rows are scored each.  If a class has no example,
-everything has probability 0 (or 1, if only toxic ones have).  Empty tables
-give empty results.  Texts are used whole; columns other than id and text
-aren't read.
+of several texts the first in order.  Equal cosines are ordered by the
+example's place in the index.  Repeated rows are scored each.  If only one
+class has examples, no term depends on it and everything has probability 0.
+Empty tables give empty results.  Texts are used whole; columns other than id
+and text aren't read.
 """
 
 from __future__ import annotations
@@ -38,9 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textkit import Tokens, chunks, tidy
+from .plan import cut
+from .textkit import SPAN_BYTES, U64, WORD, chunks, mix64, tidy
 
 BLOCK = 64
+GRAM, PREFIXES = 4, (4, 12)
 RESULT = "doc_id long, probability double, vote double, toxic boolean, evidence string"
 
 
@@ -69,30 +79,68 @@ class Index:
         return self.maxima.shape[1]
 
 
+def terms(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(term hash, text number) of all occurrences, a bounded stretch of the texts at a time."""
+    lowered = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
+    data = np.frombuffer(b"\n".join(lowered) + b"\n", dtype=np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in lowered])
+    low = 0
+    while low < len(data):
+        high = min(len(data), low + SPAN_BYTES)
+        while WORD[data[high - 1]]:  # words stay whole; the last byte of all ends one
+            high += 1
+        word = np.zeros(high - low + 1 + PREFIXES[1], dtype=bool)
+        word[1 : high - low + 1] = WORD[data[low:high]]
+        padded = np.full(len(word), 32, dtype=U64)
+        padded[1 : high - low + 1][word[1 : high - low + 1]] = data[low:high][word[1 : high - low + 1]]
+        n = high - low
+        inside = word[1 : n + 1] & word[2 : n + 2]
+        at = np.flatnonzero(inside)
+        gram = (padded[at] << U64(24)) | (padded[at + 1] << U64(16)) | (padded[at + 2] << U64(8)) | padded[at + 3]
+        yield mix64(gram), np.searchsorted(ends, at + low, side="right")
+        at = np.flatnonzero(word[1 : n + 1] & ~word[:n]) + 1
+        value = np.zeros(len(at), dtype=U64)
+        for k in range(PREFIXES[1]):
+            at, value = at[word[at + k]], value[word[at + k]]
+            value = value * U64(0xD6E8FEB86659FD93) + padded[at + k] + U64(1)
+            if k + 1 >= PREFIXES[0]:
+                yield mix64(value + U64(k)), np.searchsorted(ends, at + low - 1, side="right")
+        low = high
+
+
 def counts(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, occurrences) of the vocabulary's terms, by text and term."""
-    tokens = Tokens(texts)
     if not len(vocabulary):
         return (np.empty(0, np.int64),) * 3
-    term = np.minimum(np.searchsorted(vocabulary, tokens.hashes), len(vocabulary) - 1)
-    known = vocabulary[term] == tokens.hashes
-    key, n = np.unique(tokens.text_of()[known] * len(vocabulary) + term[known], return_counts=True)
+    likely = np.zeros(1 << 20, dtype=bool)
+    likely[vocabulary & U64((1 << 20) - 1)] = True
+    keys = [np.empty(0, np.int64)]
+    for h, text in terms(texts):
+        some = np.flatnonzero(likely[h & U64((1 << 20) - 1)])
+        h, text = h[some], text[some]
+        term = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        known = vocabulary[term] == h
+        keys.append(text[known] * len(vocabulary) + term[known])
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
     return key // len(vocabulary), key % len(vocabulary), n
 
 
-def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, weight) with each text's weights normalised."""
-    text, term, n = counts(texts, vocabulary)
+def weigh(size: int, text: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, weight) from occurrences, with each text's weights normalised."""
     w = (1 + np.log(n)) * idf[term] if len(n) else np.empty(0)
-    norm = np.sqrt(np.bincount(text, w * w, minlength=len(texts)))
+    norm = np.sqrt(np.bincount(text, w * w, minlength=size))
     keep = w > 0
     return text[keep], term[keep], (w[keep] / norm[text[keep]]).astype(np.float32)
 
 
-def build(texts: list[str], ids: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> Index:
-    """The block-max index of the examples."""
-    m, v = len(texts), len(vocabulary)
-    text, term, w = vectors(texts, vocabulary, idf)
+def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, weight) of the texts."""
+    return weigh(len(texts), *counts(texts, vocabulary), idf)
+
+
+def build(text: np.ndarray, term: np.ndarray, w: np.ndarray, ids: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> Index:
+    """The block-max index of the examples from their weights."""
+    m, v = len(ids), len(vocabulary)
     order = np.arange(m)
     if m > BLOCK and v:
         # similar examples side by side: by the signs, then the size, of their leading singular coordinates over frequent terms
@@ -103,7 +151,7 @@ def build(texts: list[str], ids: np.ndarray, labels: np.ndarray, vocabulary: np.
         inside = place[term] >= 0
         dense[text[inside], place[term[inside]]] = w[inside]
         u = np.linalg.svd(dense, full_matrices=False)[0][:, :5]
-        order = np.lexsort((u[:, 1], labels, *(u[:, k] > 0 for k in range(1, u.shape[1]))))
+        order = np.lexsort((u[:, min(1, u.shape[1] - 1)], labels, *(u[:, k] > 0 for k in range(1, u.shape[1]))))
     rank = np.empty(m, np.int64)
     rank[order] = np.arange(m)
     example = rank[text]
@@ -141,13 +189,14 @@ def _score(index: Index, q_term: np.ndarray, q_w: np.ndarray, first: np.ndarray,
     return np.bincount(key, value, minlength=len(doc) * BLOCK).reshape(-1, BLOCK)
 
 
-def nearest(index: Index, texts: list[str | None], k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples with the highest cosine of each text (places in the index; -1 where there are fewer) and the cosines.
+def nearest(index: Index, texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` examples with the highest cosine of each text (places in the index; -1 where there are fewer) and the cosines."""
+    return nearest_to(index, len(texts), *vectors(texts, index.vocabulary, index.idf), k)
 
-    ``skip``: for each text a place to leave out, as its own.
-    """
-    docs, m, b = len(texts), len(index.ids), index.blocks
-    text, term, w = vectors(texts, index.vocabulary, index.idf)
+
+def nearest_to(index: Index, docs: int, text: np.ndarray, term: np.ndarray, w: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`nearest`, from weights. ``skip``: for each text a place to leave out, as its own."""
+    m, b = len(index.ids), index.blocks
     scores = np.full((docs, b * BLOCK), -1.0, np.float32)
     size = np.bincount(text, minlength=docs)
     first = np.cumsum(size) - size
@@ -160,7 +209,6 @@ def nearest(index: Index, texts: list[str | None], k: int, skip: np.ndarray | No
         row = index.head[term]
         asked = np.zeros((docs, len(index.dense)), np.float32)
         asked[text[row >= 0], row[row >= 0]] = w[row >= 0]
-        base = (asked @ index.dense).reshape(docs, b, BLOCK)
         tail = row < 0
         text, term, w = text[tail], term[tail], w[tail]
         size = np.bincount(text, minlength=docs)
@@ -178,7 +226,11 @@ def nearest(index: Index, texts: list[str | None], k: int, skip: np.ndarray | No
             pick, open_ = pick[: len(open_)][open_[:, 0]], open_[open_[:, 0]]
             row, col = np.nonzero(open_)
             doc, block = live[row], pick[row, col]
-            found = base[doc, block] + _score(index, term, w, first, size, doc, block)
+            found = _score(index, term, w, first, size, doc, block)
+            by = np.argsort(block, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
+                at = block[part[0]] * BLOCK
+                found[part] += asked[doc[part]] @ index.dense[:, at : at + BLOCK]
             scores[doc[:, None], block[:, None] * BLOCK + np.arange(BLOCK)] = found
             if skip is not None:
                 own = skip[live]
@@ -223,28 +275,59 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, shrink: float = 4.0) -
     return xs[at], np.maximum.accumulate(np.array([(t + pull * mean) / (u + pull) for t, u in pool]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2048, k: int = 51, min_df: int = 8, max_df: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Fit the index and the calibration; ``per_class`` is the bound on labelled rows of each class."""
+def _chosen(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
+    """(i, y, t): the labelled texts to learn from, one for each id."""
+    order = W.partitionBy("y").orderBy(F.xxhash64("i"), "i")
+    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("i", "y")
+    return docs.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+
+
+def _vocabulary(examples: DataFrame, sizes: list[int], min_chi2: float) -> np.ndarray:
+    """Hashes of the terms whose presence depends on the label; only these leave the executors."""
+
+    @tidy
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "t", 1 << 19):
+            h, text = (np.concatenate(x) for x in zip(*terms(batch.column("t").to_pylist())))
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+            y = np.asarray(batch.column("y"))[text[once]]
+            term, at = np.unique(h[once], return_inverse=True)
+            n = [np.bincount(at, y == c, minlength=len(term)).astype(np.int64) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["h", "n0", "n1"])
+
+    n0, n1 = (float(x) for x in sizes)
+    found = examples.select("t", "y").mapInArrow(present, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b"))
+    a, b, n = F.col("a"), F.col("b"), n0 + n1
+    spread = (a + b) * (n - a - b) * F.lit(n0 * n1)
+    kept = found.where((spread > 0) & (F.pow(a * (n1 - b) - b * (n0 - a), 2) * n >= spread * min_chi2)).select("h").toPandas()
+    return np.unique(kept["h"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2048, k: int = 21, min_chi2: float = 15.1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Fit the index and the calibration; ``per_class`` is the bound on labelled rows of each class. No text reaches the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg((F.max("y") > 0).cast("int").alias("y"))
     frequency = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = known.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= per_class).select("i", "y")
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    rows = own.join(F.broadcast(chosen), "i").collect()  # at most per_class ids of each class
-    first: dict[int, tuple[str, int]] = {}
-    for r in sorted(rows, key=lambda r: (r.i, r.t)):
-        first.setdefault(r.i, (r.t, r.y))
-    ids = np.array(list(first), np.int64)
-    texts, y = [t for t, _ in first.values()], np.array([c for _, c in first.values()], np.int64)
-    terms = [np.unique(Tokens([t]).hashes) for t in texts]
-    vocabulary, n = np.unique(np.concatenate(terms), return_counts=True) if terms else (np.empty(0, np.uint64), np.empty(0))
-    vocabulary = vocabulary[(n >= min(min_df, max(1, len(texts) // 50))) & (n <= max(1.0, max_df * len(texts)))]
+    examples = cut(_chosen(own, known, per_class))
+    rows = examples.select("i", "y").orderBy("i").collect()  # at most per_class ids of each class
+    ids, y = np.array([r.i for r in rows], np.int64), np.array([r.y for r in rows], np.int64)
+    sizes = np.bincount(y, minlength=2)
+    vocabulary = _vocabulary(examples, sizes.tolist(), min_chi2) if sizes.all() else np.empty(0, np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidy
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "t", 1 << 19):
+            text, term, n = counts(batch.column("t").to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(text)), pa.array(term), pa.array(n)], ["i", "term", "n"])
+
     @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = shared.value, 0
         df = np.zeros(len(words), np.int64)
-        for batch in chunks(batches, "t"):
+        for batch in chunks(batches, "t", 1 << 19):
             df += np.bincount(counts(batch.column("t").to_pylist(), words)[1], minlength=len(words))
             rows += batch.num_rows
         at = np.flatnonzero(df)
@@ -255,22 +338,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2048, k: int = 51,
     found = found[found["term"] >= 0]
     df = np.zeros(len(vocabulary))
     df[found["term"].to_numpy()] = found["n"].to_numpy()
-    index = build(texts, ids, y, vocabulary, np.log((total + 1) / (df + 1)))
+    idf = np.log((total + 1) / (df + 1))
+    held = examples.select("i", "t").mapInArrow(occurrences, "i long, term long, n long").toPandas().sort_values(["i", "term"])
+    text, term, w = weigh(len(ids), np.searchsorted(ids, held["i"].to_numpy()), held["term"].to_numpy(), held["n"].to_numpy(), idf)
+    index = build(text, term, w, ids, y, vocabulary, idf)
     if not len(ids):
         return index
-    place = {int(i): at for at, i in enumerate(index.ids)}
+    place = np.empty(len(ids), np.int64)
+    place[np.searchsorted(ids, index.ids)] = np.arange(len(ids))
     alone = []
-    for a in range(0, len(texts), 96):
-        part = np.array([place[int(i)] for i in ids[a : a + 96]])
-        alone.append(votes(index, *nearest(index, texts[a : a + 96], k, part)))
-    sizes = np.bincount(y, minlength=2)
+    for a in range(0, len(ids), 96):
+        lo, hi = np.searchsorted(text, (a, a + 96))
+        size = min(96, len(ids) - a)
+        alone.append(votes(index, *nearest_to(index, size, text[lo:hi] - a, term[lo:hi], w[lo:hi], k, place[a : a + size])))
     weight = np.array([frequency.get(c, 0) / max(1, sizes[c]) for c in range(2)])
     index.steps = isotonic(np.concatenate(alone), y.astype(float), weight[y])
     return index
 
 
-def score(docs: DataFrame, index: Index, k: int = 51, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", shown: int = 5) -> DataFrame:
-    """``RESULT`` for each row; ``evidence`` lists the nearest examples as ``id:cosine:class``."""
+def score(docs: DataFrame, index: Index, k: int = 21, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``RESULT`` for each row; ``evidence`` lists the neighbours, the nearest first, as ``id:cosine:class``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @tidy
@@ -281,7 +368,7 @@ def score(docs: DataFrame, index: Index, k: int = 51, threshold: float = 0.5, id
             vote = votes(ix, top, cosine)
             level = np.maximum(np.searchsorted(ix.steps[0], vote, side="right") - 1, 0)
             p = np.where(cosine.sum(1) > 0, ix.steps[1][level], 0.0)
-            evidence = [",".join(f"{ix.ids[e]}:{c:.4f}:{ix.labels[e]}" for e, c in zip(es[:shown], cs[:shown]) if e >= 0) for es, cs in zip(top, cosine)]
+            evidence = [",".join(f"{ix.ids[e]}:{c:.4f}:{ix.labels[e]}" for e, c in zip(es, cs) if e >= 0) for es, cs in zip(top, cosine)]
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(p), pa.array(vote), pa.array((p >= threshold) & (cosine.sum(1) > 0)), pa.array(evidence, pa.string())], ["doc_id", "probability", "vote", "toxic", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, RESULT)
