@@ -186,7 +186,7 @@ def _score(index: Index, q_term: np.ndarray, q_w: np.ndarray, first: np.ndarray,
     posting = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
     key = np.repeat(pair * BLOCK, length) + (index.examples[posting] & (BLOCK - 1))
     value = index.weights[posting] * np.repeat(q_w[at], length)
-    return np.bincount(key, value, minlength=len(doc) * BLOCK).reshape(-1, BLOCK)
+    return np.bincount(key, value, minlength=len(doc) * BLOCK).reshape(-1, BLOCK).astype(np.float32)
 
 
 def nearest(index: Index, texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
