@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .plan import cut, small, text_key
 from .textkit import Tokens, as_int64, chunks, list_array, mix64, tidy
 
 #: Weight 6 in a span of 9 to 12: one of them survives any two substitutions in 15 tokens or more.
 MASKS = ("111001011", "110100110001", "101110000111")
 MIN_ITEM = 5
-BLOOM_BITS = 26
 RESULT = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_match int"
 
 
@@ -61,10 +61,6 @@ def seeds(tokens: Tokens, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
-
-
 def _short_masks(items: DataFrame) -> list[str]:
     """Masks of whole items that are shorter than the longest mask."""
     most = max(map(len, MASKS))
@@ -97,17 +93,6 @@ def _seed_table(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return items.select("item", "t").mapInArrow(run, "h long, item long, p int")
 
 
-def _bitmap(table: DataFrame) -> np.ndarray:
-    """The Bloom bitmap of all seeds; at most 2**BLOOM_BITS / 64 rows reach the driver."""
-    high = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
-    low = F.col("h").bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
-    bit = table.select(F.explode(F.array(high, low)).alias("b"))
-    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toPandas()
-    bitmap = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
-    bitmap[words["w"].to_numpy()] = words["m"].to_numpy()
-    return bitmap.view(np.uint8)
-
-
 def _segment(equal: np.ndarray) -> tuple[int, int]:
     """The stretch [a, b) with the best score, +1 for equal and -2 for different tokens."""
     total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -2))))
@@ -135,18 +120,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
     masks = (*MASKS, *_short_masks(items))
     table = cut(_seed_table(items, masks))
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(table))
+    bitmap = spark.sparkContext.broadcast(bloom.bitmap(table))
 
     @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in chunks(batches, "t"):
             tokens = Tokens(batch.column("t").to_pylist())
             h, text, at = seeds(tokens, masks)
-            first, second = _bits(h)
-            found = np.flatnonzero((bits[first >> 3] >> (first & 7).astype(np.uint8)) & 1)
-            second = second[found]
-            found = found[((bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1) == 1]
+            found = bloom.probe(bitmap.value, h)
             found = found[np.argsort(text[found], kind="stable")]
             n = np.bincount(text[found], minlength=batch.num_rows)
             rows = np.flatnonzero(n)

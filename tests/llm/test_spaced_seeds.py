@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from strandloom.llm import bloom
 from strandloom.llm import spaced_seeds as S
 
 from .common import awkward, clashing, rows_of, sentence, table, tokens
@@ -71,7 +72,7 @@ def test_awkward_rows(spark):
 def test_no_seed_is_lost_in_the_bitmap(spark, planted):
     _, items, _ = planted
     seeds = S._seed_table(table(spark, items, ITEMS).selectExpr("item_id AS item", "text AS t"), S.MASKS)
-    bits = S._bitmap(seeds)
+    bits = bloom.bitmap(seeds)
     h = np.array([r.h for r in seeds.collect()]).view(np.uint64)
-    for b in S._bits(h):
+    for b in bloom.bits(h):
         assert (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).all()
