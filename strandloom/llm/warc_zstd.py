@@ -8,8 +8,13 @@ damaged frame doesn't hide the ones after it where its block sizes are intact.
 The reader validates each record: version line, header syntax, the four
 mandatory fields, ``Content-Length`` against the block, the record's closing
 blank lines, ``WARC-Block-Digest`` (sha1) and, for HTTP responses, the message
-head and its ``Content-Length``.  A record that fails has ``error`` set and
-``valid`` false; it never stops the job.
+head and its ``Content-Length`` or chunks.  Numbers are ASCII digits within the
+range of their column.  A record that fails has ``error`` set and ``valid``
+false; it never stops the job.
+
+``body`` holds the bytes of the record's block, of an HTTP message those after
+its head, with chunks joined; what a content encoding did to them stays.
+``payload`` is the same as text, and null where the bytes aren't UTF-8.
 
 Cases: an archive of no records, an empty or null content gives no rows; an
 archive without a dictionary is read without one; a file that isn't one gives a
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -38,10 +44,10 @@ DICT_MAGIC, ZSTD_MAGIC, RAW_DICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 FIELDS = (
     ("archive", T.StringType()), ("record", T.LongType()), ("warc_type", T.StringType()), ("record_id", T.StringType()), ("target_uri", T.StringType()),
-    ("warc_date", T.StringType()), ("page_id", T.LongType()), ("content_length", T.LongType()), ("http_status", T.IntegerType()), ("payload", T.StringType()), ("valid", T.BooleanType()), ("error", T.StringType()),
+    ("warc_date", T.StringType()), ("page_id", T.LongType()), ("content_length", T.LongType()), ("http_status", T.IntegerType()), ("body", T.BinaryType()), ("valid", T.BooleanType()), ("error", T.StringType()),
 )
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in FIELDS])
-_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_()}
+_ARROW = {T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_()}
 
 
 class Damaged(ValueError):
@@ -99,6 +105,35 @@ def _head(raw: bytes) -> dict[str, str]:
     return fields
 
 
+def _number(raw: str, what: str, low: int = 0, high: int = (1 << 63) - 1) -> int:
+    """A number of ASCII digits within a range, of any length in writing."""
+    digits = raw[1:] if raw.startswith("-") and low < 0 else raw
+    if not digits.isascii() or not digits.isdigit():
+        raise Damaged(f"malformed {what}")
+    size = digits.lstrip("0") or "0"
+    found = int(size) if len(size) <= 20 else 1 << 64
+    if not low <= (found := -found if digits != raw else found) <= high:
+        raise Damaged(f"{what} out of range")
+    return found
+
+
+def _joined(body: bytes) -> bytes:
+    """The bytes of a chunked HTTP body."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            raise Damaged("malformed chunk")
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        at = end + 2 + n
+        if body[at : at + 2] != b"\r\n":
+            raise Damaged("cut-off chunk")
+        out.append(body[end + 2 : at])
+        at += 2
+
+
 def parse_record(raw: bytes) -> dict:
     """The fields of one decompressed record; ``error`` names the first thing wrong."""
     row: dict = {"valid": False}
@@ -113,11 +148,9 @@ def parse_record(raw: bytes) -> dict:
         row |= {"warc_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date")}
         if missing := [x for x in MANDATORY if x not in h]:
             raise Damaged(f"missing field {missing[0]}")
-        if not h["content-length"].isascii() or not h["content-length"].isdigit():
-            raise Damaged("malformed content-length")
-        row["content_length"] = length = int(h["content-length"])
-        if (own := h.get("x-page-id")) and own.lstrip("-").isdigit():
-            row["page_id"] = int(own)
+        row["content_length"] = length = _number(h["content-length"], "content-length")
+        if (own := h.get("x-page-id")) is not None:
+            row["page_id"] = _number(own, "x-page-id", -(1 << 63))
         if len(rest) != length + 4:
             raise Damaged(f"content-length {length}, but the block has {len(rest) - 4} bytes")
         block, tail = rest[:length], rest[length:]
@@ -130,15 +163,16 @@ def parse_record(raw: bytes) -> dict:
             top, blank, body = block.partition(b"\r\n\r\n")
             status, _, lines = top.partition(b"\r\n")
             parts = status.split(b" ", 2)
-            if not blank or not parts[0].startswith(b"HTTP/") or len(parts) < 2 or not parts[1].isdigit():
+            if not blank or not parts[0].startswith(b"HTTP/") or len(parts) < 2 or not re.fullmatch(rb"[1-9][0-9]{2}", parts[1]):
                 raise Damaged("malformed HTTP message")
-            row["http_status"] = int(parts[1])
-            said = _head(lines).get("content-length") if lines else None
-            if said is not None and said != str(len(body)):
-                raise Damaged(f"HTTP content-length {said}, but the body has {len(body)} bytes")
-            row["payload"] = body.decode("utf-8", "replace")
+            fields = _head(lines) if lines else {}
+            if fields.get("transfer-encoding", "").lower().endswith("chunked"):
+                body = _joined(body)
+            elif (said := fields.get("content-length")) is not None and _number(said, "HTTP content-length") != len(body):
+                raise Damaged(f"HTTP content-length {said[:20]}, but the body has {len(body)} bytes")
+            row |= {"http_status": int(parts[1]), "body": body}
         elif length:
-            row["payload"] = block.decode("utf-8", "replace")
+            row["body"] = block
         row["valid"] = True
     except Damaged as e:
         row["error"] = str(e)
@@ -171,12 +205,16 @@ def records(archive: str, content: bytes) -> Iterator[dict]:
         yield {"archive": archive, "record": number, "valid": False, "error": str(e)}
 
 
+#: What the reader gives: the fields, with the body as text besides.
+COLUMNS = tuple(x for n, _ in FIELDS for x in ((n, "payload") if n == "body" else (n,)))
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in FIELDS], [n for n, _ in FIELDS])
 
 
 def read_archives(files: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
-    """``SCHEMA`` rows from (path, content) rows, as the ``binaryFile`` source gives them."""
+    """Rows of ``COLUMNS`` from (path, content) rows, as the ``binaryFile`` source gives them."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +223,15 @@ def read_archives(files: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
                 held, size = [], 0
                 for row in records(path, content.as_py() or b""):
                     held.append(row)
-                    size += len(row.get("payload") or "") + 200
+                    size += len(row.get("body") or b"") + 200
                     if size >= batch_bytes:
                         yield _batch(held)
                         held, size = [], 0
                 if held:
                     yield _batch(held)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    text = F.col("body").cast("string")
+    return files.select("path", "content").mapInArrow(run, SCHEMA).withColumn("payload", F.when(F.is_valid_utf8(text), text)).select(*COLUMNS)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

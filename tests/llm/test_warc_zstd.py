@@ -85,7 +85,7 @@ def test_http_length_is_validated():
     assert "HTTP content-length 3" in A.parse_record(head + b"\r\n" + block + b"\r\n\r\n")["error"]
     digest = base64.b32encode(hashlib.sha1(block).digest())
     fine = block.replace(b"h: 3", b"h: 4")
-    assert A.parse_record(head + b"\r\n" + fine + b"\r\n\r\n")["payload"] == "body" and digest
+    assert A.parse_record(head + b"\r\n" + fine + b"\r\n\r\n")["body"] == b"body" and digest
 
 
 def test_damaged_archives(dictionary):
@@ -106,3 +106,45 @@ def test_frames_are_found_by_their_headers():
         for options in ({}, {"write_checksum": True}, {"write_content_size": False}):
             frame = zstandard.ZstdCompressor(**options).compress(payload)
             assert A.frame_end(memoryview(frame + b"tail"), 0) == len(frame)
+
+
+def message(block, **fields):
+    lines = {"WARC-Type": "response", "WARC-Record-ID": "<x>", "WARC-Date": "d", "Content-Type": "application/http", "Content-Length": str(len(block))} | fields
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\n\r\nbody"
+HOSTILE = [
+    (message(HTTP, **{"Content-Length": "9" * 20}), "content-length out of range"),
+    (message(HTTP, **{"Content-Length": "9" * 5000}), "content-length out of range"),
+    (message(HTTP, **{"Content-Length": "-1"}), "malformed content-length"),
+    (message(HTTP, **{"X-Page-Id": "9" * 20}), "x-page-id out of range"),
+    (message(HTTP, **{"X-Page-Id": "-" + "9" * 20}), "x-page-id out of range"),
+    (message(HTTP, **{"X-Page-Id": "\u00b2"}), "malformed x-page-id"),
+    (message(HTTP, **{"X-Page-Id": "--5"}), "malformed x-page-id"),
+    (message(HTTP, **{"X-Page-Id": ""}), "malformed x-page-id"),
+    (message(HTTP.replace(b"200", b"999999999999")), "malformed HTTP"),
+    (message(HTTP.replace(b"200", b"20\xb2")), "malformed HTTP"),
+    (message(HTTP.replace(b"OK\r\n", b"OK\r\nContent-Length: " + b"7" * 6000 + b"\r\n")), "HTTP content-length out of range"),
+    (message(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nbody"), "malformed chunk"),
+    (message(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nff\r\nbody"), "cut-off chunk"),
+    (message(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n"), "malformed chunk"),
+]
+
+
+def test_hostile_headers_never_stop_the_job(spark):
+    files = spark.createDataFrame([("a", archive([GOOD] + [r for r, _ in HOSTILE] + [GOOD]))], "path string, content binary")
+    got = {r.record: r for r in A.read_archives(files).collect()}
+    assert len(got) == len(HOSTILE) + 2 and got[0].valid and got[len(HOSTILE) + 1].valid
+    for k, (_, error) in enumerate(HOSTILE, 1):
+        assert not got[k].valid and error in got[k].error, (k, got[k])
+
+
+def test_bytes_and_chunks(spark):
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\n4;x=1\r\nbody\r\nA\r\n0123456789\r\n0\r\n\r\n"
+    image = message(b"HTTP/1.1 200 OK\r\n\r\n\xff\xd8\x00", **{"X-Page-Id": str(-(1 << 63))})
+    other = message(b"\xc3\xa9", **{"WARC-Type": "resource", "X-Page-Id": "007"})
+    files = spark.createDataFrame([("a", archive([message(chunked), image, other]))], "path string, content binary")
+    got = sorted(A.read_archives(files).collect(), key=lambda r: r.record)
+    assert all(r.valid for r in got) and [bytes(r.body) for r in got] == [b"body0123456789", b"\xff\xd8\x00", b"\xc3\xa9"]
+    assert [r.payload for r in got] == ["body0123456789", None, "\u00e9"] and [r.page_id for r in got] == [None, -(1 << 63), 7]
