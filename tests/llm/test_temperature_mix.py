@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import temperature_mix as M
 
@@ -53,6 +54,83 @@ def test_budgets_are_met(spark, docs, ratio):
     assert len({(r.doc_id, r.epoch) for r in got}) == len(got) and all(0 <= r.place < 1 for r in got)
 
 
+def plain(docs, entropy, repeats, ratio, block_tokens, seed, h, order):
+    """The mixture by a loop over copies, with a grid search of its own for the exponent."""
+    words = lambda t: len((t or "").split())
+    by = defaultdict(list)
+    for i, t, _, s, _ in docs:
+        by["n" if s is None else "s" + s].append((h[(i, t)], i, words(t)))
+    total = {s: sum(n for *_, n in rows) for s, rows in by.items()}
+    live, whole = {s: n for s, n in total.items() if n}, sum(total.values())
+    budget = min(ratio, repeats) * whole
+
+    def weights(a):
+        raised = {s: (n / whole) ** a for s, n in live.items()}
+        return {s: x / sum(raised.values()) for s, x in raised.items()}
+
+    spread = lambda w: -sum(x * math.log(x) for x in w.values())
+    low, high = 0.0, 1.0  # the largest exponent with the entropy, and no less than the limit allows, by a narrowing grid
+    for _ in range(12):
+        grid = [low + (high - low) * k / 50 for k in range(51)]
+        fits = [spread(weights(a)) >= entropy * math.log(len(live)) - 1e-12 or max(w * budget / live[s] for s, w in weights(a).items()) > repeats for a in grid]
+        last = max((k for k in range(51) if fits[k]), default=0)
+        low, high = grid[last], grid[min(50, last + 1)]
+    alpha, out = (low if len(live) > 1 else 1.0), Counter()
+    for s, rows in by.items():
+        share = round(weights(alpha)[s] * budget, 3) if total[s] else 0
+        blocks = max(1, -(-total[s] // block_tokens))
+        epochs = int(share // total[s]) if total[s] else 1
+        rest = share - epochs * total[s]
+        members = defaultdict(list)
+        for z, i, n in rows:
+            members[z % blocks].append((z, i, n))
+        for e in range(epochs):
+            out.update((i, s, e) for _, i, _ in rows)
+        for b in sorted(members, key=lambda b: (order[(s, epochs, b)], b)):
+            if rest <= 0:
+                break
+            for z in sorted({z for z, *_ in members[b]}):
+                tied = [(i, n) for x, i, n in members[b] if x == z]
+                if sum(n for _, n in tied) > rest:
+                    rest = 0
+                    break
+                rest -= sum(n for _, n in tied)
+                out.update((i, s, epochs) for i, _ in tied)
+    return out
+
+
+@pytest.mark.parametrize(("repeats", "ratio", "block"), [(4.0, 1.0, 200), (1.5, 1.0, 500), (4.0, 0.3, 100), (2.0, 5.0, 300)])
+def test_the_whole_plan_against_a_plain_loop(spark, docs, repeats, ratio, block):
+    rows = docs + docs[:3]  # repeated rows, too
+    df = table(spark, rows)
+    keyed = df.select("doc_id", "text", F.xxhash64(F.col("doc_id"), "text").alias("z")).collect()
+    h = {(r.doc_id, r.text): r.z for r in keyed}
+    names = {"n" if s is None else "s" + s for *_, s, _ in rows}
+    keys = spark.createDataFrame([(s, e, b) for s in names for e in range(12) for b in range(200)], "s string, epoch int, block long")
+    order = {(r.s, r.epoch, r.block): r.o for r in keys.select("*", F.xxhash64(F.lit(17), "s", "epoch", "block").alias("o")).collect()}
+    got = Counter((r.doc_id, "n" if r.source is None else "s" + r.source, r.epoch) for r in M.mixture(df, max_repeats=repeats, budget_ratio=ratio, block_tokens=block).collect())
+    assert got == plain(rows, 0.9, repeats, ratio, block, 17, h, order)
+
+
+def test_limit_holds_even_over_the_budget(spark):
+    rows = [(k, "a b c", "en", s, None) for k, s in enumerate(["x"] * 5 + ["y"] * 5)]
+    for part in (rows, rows[:5]):
+        got = M.mixture(table(spark, part), budget_ratio=10.0, max_repeats=4.0).collect()
+        assert Counter(Counter(r.doc_id for r in got).values()) == Counter({4: len(part)})
+
+
+def test_partitions_are_stretches_of_the_mixture(spark, docs):
+    place = {(r.doc_id, r.epoch): r.place for r in M.mixture(table(spark, docs), block_tokens=100).collect()}
+    once = {i: p for (i, e), p in place.items() if (i, 1) not in place and e == 0}
+    parts = M.remix(table(spark, docs), block_tokens=100).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    inside = defaultdict(list)
+    for r in parts:
+        if r.doc_id in once:
+            inside[r.p].append(once[r.doc_id])
+    runs = [inside[p] for p in sorted(inside)]
+    assert len(runs) == 4 and all(x == sorted(x) for x in runs) and all(a[-1] <= b[0] for a, b in zip(runs, runs[1:]))
+
+
 def test_every_stretch_has_the_sources_in_proportion(spark, docs):
     got = M.mixture(table(spark, docs), block_tokens=100).collect()
     part = [r for r in got if r.place < 0.5 and r.source == "big"]
