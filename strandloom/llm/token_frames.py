@@ -4,13 +4,16 @@ A shard is a sequence of zstandard frames and ends with a skippable frame that
 holds the seek table of the public seekable format: for each frame its
 compressed size, its decompressed size and the low 32 bits of the XXH64 of its
 decompressed bytes, then the number of frames, a descriptor and the magic
-0x8F92EAB1.  Frame 0 holds the document ids (little-endian int64); frame n + 1
+0x8F92EAB1.  Frame 0 is the directory: ``TOKS``, the version and the bytes of a
+token (uint16 each), then the document ids (little-endian int64); frame n + 1
 holds the token ids of document n (little-endian uint16, or uint32 if the
 vocabulary needs it).  A reader takes the table from the end of the shard and
 decompresses only the frames that it wants; any zstandard tool decodes the whole.
 
 Documents are encoded where they lie and in their order, so nothing is
 shuffled; a shard is closed when it exceeds ``shard_bytes``, which bounds memory.
+A shard's name has the run, the partition and its number in it, so a task that
+runs again writes the same shards and other runs write others.
 
 Encoding is exact byte-level BPE.  The tokenizer's pattern never joins a
 character before a space with that space, so text is cut there and equal pieces
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .plan import cut
 from .textkit import chunks, span_hashes, tidy
 
 SEEK_MAGIC, SKIPPABLE = 0x8F92EAB1, 0x184D2A5E
-NULL_ID = -(1 << 63)
+NULL_ID, DIRECTORY = -(1 << 63), b"TOKS"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RESULT = "shard string, n_docs long, n_tokens long, doc_ids array<long>, data binary"
@@ -146,7 +151,8 @@ def encoder_of(path: str) -> Encoder:
 class ShardWriter:
     """Collects documents and closes them into one shard."""
 
-    def __init__(self, level: int = 3) -> None:
+    def __init__(self, level: int = 3, dtype: str | np.dtype = "<u2") -> None:
+        self.dtype = np.dtype(dtype)
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.ids: list[int] = []
         self.frames: list[bytes] = []
@@ -158,7 +164,7 @@ class ShardWriter:
         return frame, struct.pack("<III", len(frame), len(payload), xxhash.xxh64_intdigest(payload) & 0xFFFFFFFF)
 
     def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
-        frame, entry = self._frame(tokens.tobytes())
+        frame, entry = self._frame(tokens.astype(self.dtype, copy=False).tobytes())
         self.ids.append(NULL_ID if doc_id is None else doc_id)
         self.frames.append(frame)
         self.entries.append(entry)
@@ -166,50 +172,110 @@ class ShardWriter:
         self.tokens += len(tokens)
 
     def close(self) -> bytes:
-        frame, entry = self._frame(np.array(self.ids, "<i8").tobytes())
+        frame, entry = self._frame(struct.pack("<4sHH", DIRECTORY, 1, self.dtype.itemsize) + np.array(self.ids, "<i8").tobytes())
         table = b"".join([entry, *self.entries])
         footer = struct.pack("<IBI", len(self.entries) + 1, 0x80, SEEK_MAGIC)
         return b"".join([frame, *self.frames, struct.pack("<II", SKIPPABLE, len(table) + len(footer)), table, footer])
 
 
 def seek_table(data: bytes) -> np.ndarray:
-    """Rows (offset, compressed size, decompressed size, checksum) of a shard's frames."""
+    """Rows (offset, compressed size, decompressed size, checksum) of the frames of a shard, or of the end of one that has the whole table."""
+    if len(data) < 17:
+        raise ValueError("no seek table at the end of the shard")
     n, descriptor, magic = struct.unpack("<IBI", data[-9:])
     if magic != SEEK_MAGIC or not descriptor & 0x80:
         raise ValueError("no seek table with checksums at the end of the shard")
     start = len(data) - 9 - 12 * n
-    if struct.unpack("<II", data[start - 8 : start]) != (SKIPPABLE, 12 * n + 9):
+    if start < 8 or struct.unpack("<II", data[start - 8 : start]) != (SKIPPABLE, 12 * n + 9):
         raise ValueError("the seek table's frame is damaged")
     entries = np.frombuffer(data[start:-9], dtype="<u4").reshape(n, 3).astype(np.int64)
-    if entries[:, 0].sum() != start - 8:
-        raise ValueError("the seek table doesn't fit the frames")
     return np.column_stack((np.cumsum(entries[:, 0]) - entries[:, 0], entries))
 
 
+def whole_table(data: bytes) -> np.ndarray:
+    """The seek table of a whole shard, whose frames it must fit."""
+    table = seek_table(data)
+    if table[:, 1].sum() != len(data) - 17 - 12 * len(table):
+        raise ValueError("the seek table doesn't fit the frames")
+    return table
+
+
+def _payload(packed: bytes, row: np.ndarray, k: int) -> bytes:
+    """A frame's content, checked against its checksum."""
+    size, check = int(row[2]), int(row[3])
+    payload = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(size, 1))
+    if len(payload) != size or xxhash.xxh64_intdigest(payload) & 0xFFFFFFFF != check:
+        raise ValueError(f"frame {k} is damaged")
+    return payload
+
+
 def read_frames(data: bytes, numbers: list[int]) -> list[bytes]:
     """Decompress only these frames, and check each against its checksum."""
-    table, zstd, out = seek_table(data), zstandard.ZstdDecompressor(), []
-    for k in numbers:
-        offset, packed, size, check = (int(x) for x in table[k])
-        payload = zstd.decompress(data[offset : offset + packed], max_output_size=max(size, 1))
-        if len(payload) != size or xxhash.xxh64_intdigest(payload) & 0xFFFFFFFF != check:
-            raise ValueError(f"frame {k} is damaged")
-        out.append(payload)
-    return out
+    table = whole_table(data)
+    return [_payload(data[int(table[k, 0]) : int(table[k, 0] + table[k, 1])], table[k], k) for k in numbers]
+
+
+def directory(payload: bytes) -> tuple[np.ndarray, np.dtype]:
+    """The document ids and the type of tokens that frame 0 names."""
+    magic, version, width = struct.unpack_from("<4sHH", payload) if len(payload) >= 8 else (b"", 0, 0)
+    if magic != DIRECTORY or version != 1 or width not in (2, 4):
+        raise ValueError("no directory in the first frame")
+    return np.frombuffer(payload, "<i8", offset=8), np.dtype(f"<u{width}")
+
+
+def read_file(path: str, wanted: set[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, tokens) of a shard's file, or of the wanted ids in it; only the table's and these frames' bytes are read."""
+    with open(path, "rb") as f:
+        size = f.seek(0, 2)
+        f.seek(max(0, size - 9))
+        tail = f.read(9)
+        n = struct.unpack("<I", tail[:4])[0] if len(tail) == 9 else 0
+        f.seek(max(0, size - 17 - 12 * n))
+        table = seek_table(f.read())
+
+        def frame(k: int) -> bytes:
+            f.seek(int(table[k, 0]))
+            return _payload(f.read(int(table[k, 1])), table[k], k)
+
+        ids, dtype = directory(frame(0))
+        for k in range(len(ids)) if wanted is None else np.flatnonzero(np.isin(ids, list(wanted))):
+            yield None if ids[k] == NULL_ID else int(ids[k]), np.frombuffer(frame(int(k) + 1), dtype)
+
+
+def save(shards: DataFrame, folder: str) -> DataFrame:
+    """(path) of the shards' files, written into a mounted folder that all executors share, each under a temporary name first."""
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [os.path.join(folder, f"{name}.tok.zst") for name in batch.column("shard").to_pylist()]
+            for path, data in zip(paths, batch.column("data")):
+                own = f"{path}.{os.getpid()}"
+                with open(own, "wb") as f:
+                    f.write(data.as_buffer())
+                os.replace(own, path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return cut(shards.select("shard", "data").mapInArrow(run, "path string"))
 
 
 def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, shard_bytes: int = 8 << 20, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each shard, with the whole of its bytes."""
+    name = uuid.uuid4().hex[:12]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        encoder, shard = encoder_of(tokenizer), ShardWriter(level)
+        encoder = encoder_of(tokenizer)
+        shard = ShardWriter(level, encoder.dtype)
 
         def row() -> pa.RecordBatch:
-            values = [[f"{part:06d}-{number:04d}"], [len(shard.ids)], [shard.tokens], [[None if x == NULL_ID else x for x in shard.ids]], [shard.close()]]
+            values = [[f"{name}-{part:06d}-{number:04d}"], [len(shard.ids)], [shard.tokens], [[None if x == NULL_ID else x for x in shard.ids]], [shard.close()]]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["shard", "n_docs", "n_tokens", "doc_ids", "data"])
 
@@ -219,14 +285,14 @@ def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, shard_bytes: int =
                 shard.add(doc_id, ids[bounds[k] : bounds[k + 1]])
                 if shard.size >= shard_bytes:
                     yield row()
-                    number, shard = number + 1, ShardWriter(level)
+                    number, shard = number + 1, ShardWriter(level, encoder.dtype)
         if shard.ids:
             yield row()
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, RESULT)
 
 
-def read_documents(shards: DataFrame, wanted: DataFrame | None = None, dtype: str = "<u2") -> DataFrame:
+def read_documents(shards: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, tokens) of all documents of the shards, or of those whose id is in ``wanted.doc_id``; other frames stay compressed."""
     rows = shards.select("shard", F.posexplode("doc_ids").alias("n", "doc_id"))
     if wanted is not None:
@@ -237,8 +303,9 @@ def read_documents(shards: DataFrame, wanted: DataFrame | None = None, dtype: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ns, data in zip(batch.column("ns").to_pylist(), batch.column("data").to_pylist()):
-                ids = np.frombuffer(read_frames(data, [0])[0], "<i8")
-                tokens = [np.frombuffer(x, dtype).astype(np.int32) for x in read_frames(data, [n + 1 for n in ns])]
+                first, *frames = read_frames(data, [0, *(n + 1 for n in ns)])
+                ids, dtype = directory(first)
+                tokens = [np.frombuffer(x, dtype).astype(np.int32) for x in frames]
                 yield pa.RecordBatch.from_arrays([pa.array([None if ids[n] == NULL_ID else int(ids[n]) for n in ns], pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
     return shards.select("shard", "data").join(asked, "shard").select("ns", "data").mapInArrow(run, "doc_id long, tokens array<int>")

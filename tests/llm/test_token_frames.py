@@ -56,7 +56,8 @@ def test_frames_are_standard_and_independent():
     data = shard()
     table_ = T.seek_table(data)
     assert len(table_) == 21
-    assert np.frombuffer(T.read_frames(data, [0])[0], "<i8").tolist() == [T.NULL_ID if k == 3 else k for k in range(20)]
+    ids, dtype = T.directory(T.read_frames(data, [0])[0])
+    assert dtype == np.dtype("<u2") and ids.tolist() == [T.NULL_ID if k == 3 else k for k in range(20)]
     # whatever happens to other frames, one can be read
     broken = bytearray(data)
     at = table_[5, 0]
@@ -71,7 +72,28 @@ def test_frames_are_standard_and_independent():
 @pytest.mark.parametrize("damage", [lambda d: d[:-1], lambda d: d[:-9] + b"\0" * 9, lambda d: d[:100] + d[101:]])
 def test_damaged_tables_are_refused(damage):
     with pytest.raises(ValueError):
-        T.seek_table(damage(shard()))
+        T.whole_table(damage(shard()))
+
+
+def test_wide_tokens_and_files(spark, tmp_path):
+    w = T.ShardWriter(dtype="<u4")
+    for k in (5, 6, None):
+        w.add(k, np.array([1 << 20, k or 0]))
+    (tmp_path / "x.tok.zst").write_bytes(w.close())
+    got = [(i, x.tolist()) for i, x in T.read_file(str(tmp_path / "x.tok.zst"))]
+    assert got == [(5, [1 << 20, 5]), (6, [1 << 20, 6]), (None, [1 << 20, 0])]
+    assert [i for i, _ in T.read_file(str(tmp_path / "x.tok.zst"), {6, 99})] == [6]
+    wide = spark.createDataFrame([("x", 3, 6, [5, 6, None], bytearray((tmp_path / "x.tok.zst").read_bytes()))], T.RESULT)
+    assert {(r.doc_id, tuple(r.tokens)) for r in T.read_documents(wide).collect()} == {(5, (1 << 20, 5)), (6, (1 << 20, 6)), (None, (1 << 20, 0))}
+    docs = table(spark, awkward())
+    paths = [r.path for r in T.save(T.write_shards(docs, shard_bytes=4000), str(tmp_path / "shards")).collect()]
+    assert len(paths) > 1
+    read = sorted(((i, x.tolist()) for p in paths for i, x in T.read_file(p)), key=repr)
+    assert read == sorted(((r.doc_id, ENCODER.bpe.encode_ordinary(r.text or "")) for r in docs.collect()), key=repr)
+    for bad in (b"", b"short", w.close()[:-20]):
+        (tmp_path / "bad").write_bytes(bad)
+        with pytest.raises(ValueError):
+            list(T.read_file(str(tmp_path / "bad")))
 
 
 def test_wrong_checksum_is_found():
