@@ -22,9 +22,10 @@ from .operators import metrics
 from .operators.ntriples import render, type_nulls
 from .plans.compiler import compile_mapping
 from .plans.mapping import VOCABULARY, MappingError, default_mapping
-from .plans.tables import RECORD_COLUMNS, tables_of
+from .plans.tables import tables_of
 from .plans.turtle import load_mapping
 from .sinks import files, rdf
+from .sinks.tables import write_tables
 from .sources import vcf
 
 log = logging.getLogger("strandloom")
@@ -101,17 +102,6 @@ def validate(a: argparse.Namespace) -> tuple[list[str], list[str], int | None]:
     return inputs, methods, partitions
 
 
-def write_tables(tables: dict, folder: str, prefix: str) -> int:
-    """The tables as tab-separated folders, nothing quoted; their size in bytes."""
-    spark, total = next(iter(tables.values())).sparkSession, 0
-    for name, t in tables.items():
-        rows = t.select(*RECORD_COLUMNS, "SAMPLES_RAW") if name == "records" else t
-        target = f"{folder}/{prefix}.{name}.tsv"
-        rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(target)
-        total += files.size(spark, target) or 0
-    return total
-
-
 def convert(spark: SparkSession, run: Run, path: str, a: argparse.Namespace, methods: list[str], partitions: int | None) -> None:
     """One input from variants to compressed triples."""
     prefix, began = a.out_name or names.prefix_of(os.path.basename(path)), time.perf_counter()

@@ -61,21 +61,21 @@ def lenient_int(c: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
-    """Bytes as they are, then two decimals up to PB."""
+    """Bytes as they are, then two decimals up to PB; ties go to the even digit."""
     out, units = F.format_string("%d B", c.cast("bigint")), ("KB", "MB", "GB", "TB", "PB")
     for k, unit in enumerate(units, 1):
-        out = F.when(c >= 1024**k, F.format_string(f"%.2f {unit}", c / float(1024**k))).otherwise(out)
+        out = F.when(c >= 1024**k, F.format_string(f"%.2f {unit}", F.bround(c / float(1024**k), 2))).otherwise(out)
     return out
 
 
 def format_duration(c: Column) -> Column:
-    """``1.50s``, ``2m 3.0s`` or ``1h 2m 3.0s``; negative counts as 0."""
+    """``1.50s``, ``2m 3.0s`` or ``1h 2m 3.0s``; negative counts as 0, ties go to the even digit."""
     s = F.greatest(c.cast("double"), F.lit(0.0))
     minutes, rest = F.floor(s / 60), s - F.floor(s / 60) * 60
     return (
-        F.when(s < 60, F.format_string("%.2fs", s))
-        .when(minutes < 60, F.format_string("%dm %.1fs", minutes, rest))
-        .otherwise(F.format_string("%dh %dm %.1fs", F.floor(minutes / 60), minutes - F.floor(minutes / 60) * 60, rest))
+        F.when(s < 60, F.format_string("%.2fs", F.bround(s, 2)))
+        .when(minutes < 60, F.format_string("%dm %.1fs", minutes, F.bround(rest, 1)))
+        .otherwise(F.format_string("%dh %dm %.1fs", F.floor(minutes / 60), minutes - F.floor(minutes / 60) * 60, F.bround(rest, 1)))
     )
 
 
@@ -85,7 +85,7 @@ def time_log(c: Column) -> dict[str, Column]:
     def number(*patterns: str) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("double") for p in patterns])
 
-    clock = F.nullif(F.btrim(F.regexp_extract(c, r"Elapsed \(wall clock\) time.*: *([^\n]+)", 1)), F.lit(""))
+    clock = F.nullif(F.btrim(F.regexp_extract(c, r"Elapsed \(wall clock\) time(?: \([^)\n]*\))?: *([^\n]+)", 1)), F.lit(""))
     return {
         "wall_seconds": F.coalesce(elapsed_seconds(clock), number(r"(?m)^real\s+([0-9.]+)$")),
         "user_seconds": number(r"User time \(seconds\): *([0-9.]+)", r"(?m)^user\s+([0-9.]+)$"),

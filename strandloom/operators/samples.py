@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import uri_id, words
+from .shared import broadcast_if_small, checkpointed
 
 
 def _strings() -> F.Column:
@@ -42,7 +43,8 @@ def declared(records: DataFrame, strict: bool) -> DataFrame:
 def sample_calls(records: DataFrame, strict: bool = False) -> DataFrame:
     """SOURCE_FILE, ROW_ID, SAMPLE_INDEX, SAMPLE_ID, SAMPLE_URI_ID, SAMPLE_PAYLOAD (and FORMAT): one row for each sample of a record."""
     payloads = F.col("SAMPLE_CELLS") if strict else words(F.col("SAMPLES_RAW"))
-    rows = records.join(declared(records, strict), "file", "left").withColumn("p", payloads)
+    names = broadcast_if_small(checkpointed(declared(records, strict)))  # a row for each file
+    rows = records.join(names, "file", "left").withColumn("p", payloads)
     for c in ("names", "uris", "bases"):
         rows = rows.withColumn(c, F.coalesce(c, _strings()))
     n = F.greatest(F.size("names"), F.size("p"))

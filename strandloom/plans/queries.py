@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import elapsed_seconds, key_value, normalize_ws, uri_id
-from ..operators import metrics, ntriples, samples
+from ..functions import names
+from ..functions.columns import elapsed_seconds, format_bytes, format_duration, key_value, lenient_int, normalize_ws, output_prefix, slug, time_log, uri_id
+from ..operators import metrics, ntriples, samples, shared
+from ..sinks import rdf
+from ..sinks.tables import write_tables
+from ..sources import tsv
+from . import sample_files
 from .compiler import compile_mapping
-from .mapping import Join, Term, TriplesMap, iri
+from .mapping import Join, Term, TriplesMap, default_mapping, iri
 from .oracles import ORACLES
+from .tables import RECORD_COLUMNS, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,43 +33,190 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tables(spark: SparkSession, d: str, strict: bool = False) -> dict[str, DataFrame]:
+    """The five tables of the variant files made of the driver's tables."""
+    return tables_of(sample_files.variants(spark, d), strict)
+
+
 @query
-def scan_customer_project_filter(spark, d):
-    return table(spark, d, "customer").where("c_mktsegment <> 'HOUSEHOLD' AND c_nationkey >= 5").select("c_custkey", "c_name", "c_mktsegment")
+def vcf_records(spark, d):
+    return _tables(spark, d)["records"]
 
 
 @query
-def header_kv_split(spark, d):
-    key, value = key_value(F.col("url"))
-    return table(spark, d, "pages").select("page_id", key.alias("header_key"), value.alias("header_value"))
+def vcf_header_lines(spark, d):
+    return _tables(spark, d)["header_lines"]
 
 
 @query
-def metadata_last_wins(spark, d):
-    last = [F.max_by("value", F.when(F.col("event_type") == kind, F.col("event_id"))).alias(f"last_{kind}") for kind in ("click", "purchase")]
-    return table(spark, d, "events").where("event_id < 1000").groupBy("user_id").agg(*last, F.count(F.lit(1)).alias("record_count"))
+def vcf_file_metadata(spark, d):
+    return _tables(spark, d)["file_metadata"]
 
 
 @query
-def row_id_per_file(spark, d):
-    return table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")).alias("row_id"))
+def vcf_sample_calls(spark, d):
+    return _tables(spark, d)["sample_calls"]
 
 
 @query
-def normalize_ws_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", normalize_ws(F.col("text")).alias("norm"))
+def vcf_sample_format_values(spark, d):
+    return _tables(spark, d)["sample_format_values"]
+
+
+@query
+def vcf_strict_calls(spark, d):
+    return _tables(spark, d, True)["sample_calls"].drop("SAMPLE_URI_ID")
+
+
+def _triples(spark: SparkSession, d: str, chosen: list[str]) -> DataFrame:
+    maps = [m for m in default_mapping() if m.name in chosen]
+    return ntriples.type_nulls(compile_mapping(maps, _tables(spark, d)))
+
+
+def _map_query(name: str) -> Query:
+    """The N-Triples lines of one map of the default mapping."""
+
+    def run(spark, d):
+        return ntriples.render(_triples(spark, d, [name]))
+
+    run.__name__ = "map_" + name.replace("-", "_")
+    return run
+
+
+for _name in sample_files.MAPS:
+    query(_map_query(_name))
+
+
+@query
+def graph_triple_counts(spark, d):
+    """Exact numbers of triples by predicate of the whole graph."""
+    return _triples(spark, d, list(sample_files.MAPS)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dictionary_round_trip(spark, d):
+    """Terms as numbers and back."""
+    dictionary, coded = ntriples.encode_terms(_triples(spark, d, ["line", "record"]))
+    for c in ("s", "p", "o"):
+        coded = coded.join(dictionary.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c)), f"{c}_id")
+    return coded.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
+
+
+def _target(spark: SparkSession, name: str) -> str:
+    return f"{shared.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(paths)
+
+
+@query
+def batch_layout(spark, d):
+    """Triples written as .nt parts and read back."""
+    return _read_lines(spark, rdf.write_lines(ntriples.render(_triples(spark, d, ["header-line"])), _target(spark, "batch"), "batch"))
+
+
+@query
+def aggregate_layout(spark, d):
+    """Triples written as one file, from more tasks than one, and read back."""
+    return _read_lines(spark, rdf.write_lines(ntriples.render(_triples(spark, d, ["file-record"])), _target(spark, "one") + ".nt", "aggregate", 3))
+
+
+@query
+def gzip_round_trip(spark, d):
+    """A file of triples compressed, decompressed and read back."""
+    folder = _target(spark, "gz")
+    source = rdf.write_lines(ntriples.render(_triples(spark, d, ["sample"])), f"{folder}/a.nt")[0]
+    done = rdf.compress(spark, source, f"{folder}/out", "gzip")
+    rdf.decompress(spark, done["output"], f"{folder}/b.nt", names.compressed_format(done["output"]))
+    return _read_lines(spark, [f"{folder}/b.nt"])
+
+
+@query
+def tables_round_trip(spark, d):
+    """Tables written as tab-separated text, found again by their names and read back."""
+    folder = _target(spark, "tsv")
+    write_tables(_tables(spark, d), folder, "all")
+    return tsv.load(spark, folder, tsv.discover(spark, folder)[0])["records"].select(*RECORD_COLUMNS, "SAMPLES_RAW", "SAMPLE_COLUMN")
+
+
+@query
+def missing_tables(spark, d):
+    """Names that lack one of their three tables, from a listing."""
+    known, english = table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    name = lambda df, kind: df.select(F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}.tsv")).alias("name"))
+    listing = name(table(spark, d, "documents"), "records").union(name(known, "header_lines")).union(name(english, "file_metadata"))
+    return metrics.triplets(listing)[1]
+
+
+@query
+def run_total_triples(spark, d):
+    """The total over JSON metrics in which a count is a number, a map with TOTAL, or missing."""
+    k = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"artifacts": {"output_triples": '), k, F.lit("}}"))).when(
+        F.col("event_id") % 3 == 1, F.concat(F.lit('{"artifacts": {"output_triples": {"a.nt": 1, "TOTAL": '), k, F.lit("}}}"))
+    )
+    return metrics.total_triples(table(spark, d, "events").select(F.coalesce(value, F.lit('{"artifacts": {}}')).alias("value")))
+
+
+@query
+def prefix_of_names(spark, d):
+    name = F.concat("p_name", F.element_at(F.array(F.lit(".vcf"), F.lit(".vcf.gz"), F.lit(".VCF"), F.lit(".vcf.bz2")), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", output_prefix(name).alias("prefix"), slug(F.concat(F.lit("/"), name, F.lit("!"))).alias("slug"))
 
 
 @query
-def collapse_samples(spark, d):
-    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["l_linenumber"].cast("string")), " ").alias("samples"))
+def time_logs(spark, d):
+    """Times and memory from logs of both formats."""
+    gnu = F.format_string("\tUser time (seconds): %d.25\n\tSystem time (seconds): %d.50\n\tElapsed (wall clock) time (h:mm:ss or m:ss): %d:%02d:%02d\n\tMaximum resident set size (kbytes): %d\n", F.col("o_custkey"), F.col("o_orderkey") % 7, F.col("o_orderkey") % 5, F.col("o_orderkey") % 60, F.col("o_custkey") % 60, F.col("o_orderkey"))
+    posix = F.format_string("real %d.50\nuser %d.25\nsys 0.00\n", F.col("o_orderkey"), F.col("o_custkey"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, gnu).otherwise(posix)
+    return table(spark, d, "orders").select("o_orderkey", *[c.alias(name) for name, c in time_log(text).items()])
 
 
 @query
-def sample_calls_explode(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("k", "sample_id"))
-    return rows.select("p_partkey", (F.col("k") + 1).alias("sample_index"), "sample_id")
+def sizes_and_durations(spark, d):
+    size = F.col("o_orderkey") * F.col("o_orderkey") * F.lit(1024)
+    seconds = F.col("o_orderkey").cast("double") / 4
+    return table(spark, d, "orders").select("o_orderkey", format_bytes(size).alias("size"), format_duration(seconds).alias("took"))
+
+
+@query
+def lenient_integers(spark, d):
+    raw = F.element_at(F.array(F.concat(F.col("p_size").cast("string"), F.lit(".9")), F.lit("  "), F.concat(F.lit(" "), F.col("p_partkey").cast("string")), F.col("p_brand")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", lenient_int(raw).alias("n"))
+
+
+@query
+def names_and_methods(spark, d):
+    """What the driver makes of names, methods and numbers, as (function, input, output)."""
+
+    def tried(f, *args):
+        try:
+            return str(f(*args))
+        except ValueError:
+            return "refused"
+
+    rows = [("is_vcf", x, tried(names.is_vcf, x)) for x in ("a.vcf", "a.vcf.gz", "a.VCF", "a.vcf.bz2")]
+    rows += [("methods", x, tried(names.compression_methods, x)) for x in ("", "none", "gzip,gzip, hdt", "zip")]
+    rows += [("positive", x, tried(names.positive_int, x, "n")) for x in ("3", "0", "-1", "1.5")]
+    rows += [("format", x, tried(names.compressed_format, x)) for x in ("a.nt.gz", "a.hdt.br", "a.hdt", "a.zip")]
+    rows += [("decompressed", x, tried(names.decompressed_name, x)) for x in ("a.nt.gz", "a.hdt.gz", "a.hdt", "a.br")]
+    rows += [("safe", x, tried(names.safe_name, x)) for x in ("a b/c", "//", "x.nt")]
+    rows += [("columns", m, str(len(metrics.columns_for([m] if m else [])))) for m in ("", *names.METHODS)]
+    rows += [("columns", "all", str(len(metrics.superset_columns())))]
+    return spark.createDataFrame(rows, "function string, input string, output string")
+
+
+@query
+def header_kv_split(spark, d):
+    key, value = key_value(F.col("url"))
+    return table(spark, d, "pages").select("page_id", key.alias("header_key"), value.alias("header_value"))
+
+
+@query
+def normalize_ws_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", normalize_ws(F.col("text")).alias("norm"))
 
 
 @query
@@ -81,13 +234,6 @@ def sanitize_uri_id(spark, d):
     return table(spark, d, "pages").select("page_id", uri_id(name, F.col("page_id")).alias("uri_id"))
 
 
-@query
-def dedupe_suffix(spark, d):
-    n = F.row_number().over(W.partitionBy("p_name").orderBy("p_partkey"))
-    rows = table(spark, d, "part").select("p_partkey", "p_name", n.alias("n"))
-    return rows.select("p_partkey", "p_name", F.when(F.col("n") > 1, F.concat("p_name", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("p_name")).alias("uri_id"))
-
-
 def _spo(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o")
 
@@ -140,23 +286,12 @@ def method_aggregate(spark, d):
     return metrics.by_method(results).select("method", "exit_code", F.round("wall_seconds", 2).alias("wall_seconds"), "source")
 
 
-@query
-def json_total(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("total"))
-
-
 @query
 def upsert(spark, d):
     fresh = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(9).alias("quality"))
     return metrics.upsert(table(spark, d, "labels").select("doc_id", "quality"), fresh, ["doc_id"])
 
 
-@query
-def missing_triplet_anti(spark, d):
-    missing = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-    return missing.select("doc_id", F.lit("missing labels").alias("error"))
-
-
 @query
 def size_estimate(spark, d):
     rows = table(spark, d, "documents").select(F.col("n_chars").alias("bytes"), (F.col("lang") == "en").alias("gzip"))
@@ -168,11 +303,6 @@ def elapsed_to_seconds(spark, d):
     return table(spark, d, "events").select("event_id", elapsed_seconds(F.date_format("ts", "HH:mm:ss")).alias("seconds"))
 
 
-@query
-def suffix_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"\.html([?#].*)?$", "").alias("prefix"))
-
-
 @query
 def dictionary_encode(spark, d):
     orders = table(spark, d, "orders")

@@ -24,6 +24,12 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted(x for x in found if not x[0].rpartition("/")[2].startswith(("_", ".")))
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders of a folder, by name."""
+    fs, p = _path(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def size(spark: SparkSession, path: str) -> int | None:
     """Bytes of a file or folder; None if there is none."""
     fs, p = _path(spark, path)

@@ -28,8 +28,9 @@ def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, maps:
     def batch(rows: DataFrame, number: int) -> None:
         paths = sorted(r.path for r in rows.select(F.col("path")).collect())  # names only, at most files_per_batch
         if paths:
-            tables = tables_of(vcf.read(spark, paths), strict)
-            triples = type_nulls(compile_mapping(maps or default_mapping(vocabulary), tables), vocabulary, strict)
+            read = vcf.read(spark, paths)
+            triples = type_nulls(compile_mapping(maps or default_mapping(vocabulary), tables_of(read, strict)), vocabulary, strict)
             render(triples).write.mode("overwrite").text(f"{output}/batch={number}")
+            read.close()
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

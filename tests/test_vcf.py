@@ -93,3 +93,39 @@ def test_inputs(tmp_path):
 def test_invalid_text_is_found(spark, tmp_path):
     (tmp_path / "bad.vcf").write_bytes(b"1\t5\t\xff\tA\tC\n")
     assert vcf.invalid_text(vcf.read(spark, vcf.snapshot(str(tmp_path))).lines).count() == 1
+
+
+def test_text_is_scanned_once_and_lines_stay_where_they_are(spark, folder):
+    """The tables' plans read the written lines only, and shuffle none of them to number them."""
+    read = vcf.read(spark, vcf.snapshot(folder))
+    tables = load(spark, folder)
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in (*tables.values(), read.lines, read.records)]
+    assert not any("Scan text" in p for p in plans) and all("Scan parquet" in p for p in plans if "Scan" in p)
+    for p in plans[-2:]:
+        assert "Exchange hashpartitioning" not in p
+    assert "PushedFilters" in plans[-1] and "EqualTo(kind,r)" in plans[-1]
+    n = read.lines.count()
+    assert n == read.lines.select("file", "pos").distinct().count() > 15
+    read.close()
+
+
+def test_tables_kept_are_read_back(spark, folder, tables, tmp_path):
+    from strandloom.sinks.tables import write_tables
+    from strandloom.sources import tsv
+
+    many = {k: v.where("SOURCE_FILE IN ('many.vcf', 'sites.vcf')") for k, v in tables[False].items()}
+    write_tables(many, str(tmp_path), "x")
+    assert tsv.discover(spark, str(tmp_path)) == ["x"]
+    back = tsv.load(spark, str(tmp_path), "x")
+    for k, t in many.items():
+        assert sorted(map(repr, t.collect())) == sorted(map(repr, back[k].select(t.columns).collect())), k
+    # the shape that other writers give: the sample column's name is data, carriage returns end the lines
+    (tmp_path / "y.records.tsv").write_bytes(b'SOURCE_FILE\tROW_ID\tCHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA B\r\ny.vcf\t1\t1\t5\t"q\tA\tC\t.\tPASS\tX\tGT:DP\t0/1:3 1/1\r\ny.vcf\t2\t1\t6\t.\tA\tC\t\t\t\t\t\r\n')
+    (tmp_path / "y.header_lines.tsv").write_text("SOURCE_FILE\tHEADER_INDEX\tHEADER_KEY\tHEADER_VALUE\tRAW_LINE\n")
+    with pytest.raises(ValueError, match="y.file_metadata.tsv"):
+        tsv.discover(spark, str(tmp_path))
+    (tmp_path / "y.file_metadata.tsv").write_text("SOURCE_FILE\tFILE_FORMAT\tFILE_DATE\tSOURCE_SOFTWARE\tREFERENCE_GENOME\tHEADER_COUNT\tRECORD_COUNT\ny.vcf\tV\t\t\t\t1\t2\n")
+    assert tsv.discover(spark, str(tmp_path)) == ["x", "y"]
+    own = tsv.load(spark, str(tmp_path), "y")
+    assert rows(own["records"], "y.vcf", "ROW_ID", "ID", "QUAL", "SAMPLES_RAW") == [(1, '"q', ".", "0/1:3 1/1"), (2, ".", "", "")]
+    assert rows(own["sample_calls"], "y.vcf", "ROW_ID", "SAMPLE_ID", "SAMPLE_PAYLOAD") == [(1, "A", "0/1:3"), (1, "B", "1/1"), (2, "A", ""), (2, "B", "")]
