@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import broadcast_if_small as small
+from ..operators.shared import checkpointed as cut
+from ..operators.shared import folder as shared_dir
+
+__all__ = ["cut", "here", "shared_dir", "small", "table", "text_key"]
+
 
 def here(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; elsewhere ship it with ``--py-files``."""
@@ -25,32 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder
-    takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or tempfile.mkdtemp(prefix="strandloom-")
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it back from there."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df``, already computed and of a few narrow columns, to be broadcast if it has at most ``rows`` rows; else it is joined by shuffling."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def text_key(text) -> F.Column:
     """A 64-bit key of a text; with the document's id it names a row. A null text has a key of its own."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text))
