@@ -12,13 +12,18 @@ text has characters, so variants that cannot match are ruled out first, without
 loss, by pigeonhole.  Split the shorter line into m segments: the edit lies in
 one of them, so everything before and everything after it is equal in both.
 
-1. Equal lines become one (its first occurrence) by a 128-bit hash.
+1. The texts are split once into a slim table of places with a 128-bit hash of
+   the line and hashes of its halves.  Equal lines become one (its first
+   occurrence); from here on, a line counts once however often it stands.
 2. With m = 2: only lines that share a half with another line go on.
-3. With m = 8: of those, only lines that share all but an eighth with another.
+3. With m = 8: of those, whose text is now read, only lines that share all but
+   an eighth with another.
 4. For these, the variants within that eighth are emitted as hashed keys, lines
    with equal variants are joined, and the edit distance is verified.
 
-All of it is JVM expressions over DataFrames; groups are never collected.
+All of it is JVM expressions over DataFrames; groups are never collected.  What
+a group is asked for is a minimum or maximum, which tasks reduce before anything
+moves, so a line that every document has is no more work than another.
 
 Cases: null and empty texts have no lines.  Repeated rows have the same (id,
 line number) and count as one; of two texts with one id, ties in position go by
@@ -30,9 +35,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .plan import cut
+from .plan import cut, small
 
 BLANKS = " \t\r"
 SEGMENTS = 8
@@ -52,19 +56,17 @@ def _h2() -> F.Column:
     return F.xxhash64(F.lit(7), F.col("line"))
 
 
-def _halves(lines: DataFrame) -> DataFrame:
-    """(h1, key): the halves that a line may share with one an edit away, that one being as long, longer or shorter.
+def _halves() -> F.Column:
+    """The hashes of the halves that a line may share with one an edit away, that one being as long, longer or shorter.
 
     With n characters and the shorter line's half rounded down, they are: the
     first n/2; the first n/2 - 1 of an even n, or the last n/2 of an odd one;
     and the last n/2, rounded up.
     """
-    sized = lines.select(_h1().alias("h1"), "line", F.char_length("line").alias("n"))
-    c = F.expr("n div 2").cast("int")
+    n, c = F.char_length("line"), F.expr("char_length(line) div 2").cast("int")
     first = lambda k: F.xxhash64(F.lit(0), k, F.substr("line", F.lit(1), k))
-    last = lambda k: F.xxhash64(F.lit(1), k, F.substr(F.col("line"), F.col("n") - k + 1))
-    keys = F.array(first(c), F.when(F.col("n") % 2 == 0, first(c - 1)).otherwise(last(c)), last(F.col("n") - c))
-    return sized.select("h1", F.explode(keys).alias("key"))
+    last = lambda k: F.xxhash64(F.lit(1), k, F.substr(F.col("line"), n - k + 1))
+    return F.array(first(c), F.when(n % 2 == 0, first(c - 1)).otherwise(last(c)), last(n - c))
 
 
 def _contexts(line: F.Column, segments: int = SEGMENTS) -> F.Column:
@@ -83,23 +85,24 @@ def _contexts(line: F.Column, segments: int = SEGMENTS) -> F.Column:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of a ``key`` that rows with another ``h1`` have, too."""
-    group = W.partitionBy("key")
-    return rows.withColumn("lo", F.min("h1").over(group)).withColumn("hi", F.max("h1").over(group)).where("lo <> hi").drop("lo", "hi")
+    ends = rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    return rows.join(ends.where("lo <> hi").select("key"), "key", "left_semi")
 
 
 def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(h1, h2, near): the earliest line within one edit of a distinct line, if it is earlier."""
-    going = _shared(_halves(lines)).select("h1").distinct()
+    """(h1, h2, near): the earliest line within one edit of a distinct line (h1, h2, head, keys), if it is earlier."""
+    halves = cut(first.select("h1", "h2", F.explode("keys").alias("key")))
+    going = cut(_shared(halves).select("h1", "h2").distinct())
     keyed = lines.select(_h1().alias("h1"), _h2().alias("h2"), "line")
-    texts = cut(keyed.join(going, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
-    inner = texts.select("h1", "h2", F.explode(_contexts(F.col("line"))).alias("c")).select("h1", "h2", F.col("c.before").alias("before"), F.col("c.after").alias("after"), F.col("c.key").alias("key"))
+    texts = cut(keyed.join(small(going), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
+    inner = cut(texts.select("h1", "h2", F.explode(_contexts(F.col("line"))).alias("c")).select("h1", "h2", F.col("c.before").alias("before"), F.col("c.after").alias("after"), F.col("c.key").alias("key")))
     close = _shared(inner).join(texts, ["h1", "h2"])
     middle = F.substr("line", F.col("before") + 1, F.char_length("line") - F.col("before") - F.col("after"))
     close = close.select("h1", "h2", "key", middle.alias("gap"))
     # the gap whole, and without each of its characters
     without = F.transform(F.sequence(F.lit(0), F.char_length("gap")), lambda x: F.xxhash64(F.col("key"), F.when(x == 0, F.col("gap")).otherwise(F.concat(F.substr(F.col("gap"), F.lit(1), x - 1), F.substr(F.col("gap"), x + 1)))))
     variants = close.select("h1", "h2", F.explode(F.array_distinct(without)).alias("variant"))
-    placed = variants.join(first, ["h1", "h2"])
+    placed = variants.join(first.select("h1", "h2", "head"), ["h1", "h2"])
     a = placed.select("variant", F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("head").alias("head"))
     b = placed.select("variant", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("head").alias("near"))
     pairs = a.join(b, "variant").where("near < head").select("h1", "h2", "g1", "g2", "near").distinct()
@@ -114,16 +117,19 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 16, max_edits: int = 1, id
         raise ValueError("max_edits is 0 or 1")
     lines = lines_of(docs, min_chars, id_col, text_col)
     place = F.struct(F.col("i").isNull().alias("z"), F.col("i").alias("i"), F.col("n").alias("n"), F.col("h1").alias("h"))
-    seen = lines.select("i", "n", _h1().alias("h1"), _h2().alias("h2")).distinct()
-    seen = seen.withColumn("place", place).withColumn("head", F.min("place").over(W.partitionBy("h1", "h2")))
+    slim = cut(lines.select("i", "n", _h1().alias("h1"), _h2().alias("h2"), *([_halves().alias("keys")] if max_edits else [])))
+    keys = [F.first("keys").alias("keys")] if max_edits else []
+    first = cut(slim.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("last"), *keys))
     if max_edits:
-        first = seen.where("place = head").select("h1", "h2", "head")
-        seen = seen.join(cut(_near(lines, first)), ["h1", "h2"], "left")
+        first = first.join(_near(lines, first), ["h1", "h2"], "left")
     else:
-        seen = seen.withColumn("near", F.lit(None).cast(seen.schema["head"].dataType))
+        first = first.withColumn("near", F.lit(None).cast(first.schema["head"].dataType))
+    # lines that stand at one place and have no neighbour are left alone
+    some = small(cut(first.where("near IS NOT NULL OR head <> last").select("h1", "h2", "head", "near")))
+    seen = slim.select("i", "n", "h1", "h2").join(some, ["h1", "h2"]).withColumn("place", place)
     kept = F.coalesce("near", "head")
-    out = seen.where("near IS NOT NULL OR place <> head")
-    return out.select(F.col("i").alias("doc_id"), F.col("n").alias("line_no"), kept["i"].alias("keep_doc_id"), kept["n"].alias("keep_line_no"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"))
+    out = seen.where("near IS NOT NULL OR place <> head").select("i", "n", "h1", "h2", kept.alias("kept"), F.col("near").isNull().alias("same")).distinct()
+    return out.select(F.col("i").alias("doc_id"), F.col("n").alias("line_no"), F.col("kept.i").alias("keep_doc_id"), F.col("kept.n").alias("keep_line_no"), F.when(F.col("same"), 0).otherwise(1).alias("edits"))
 
 
 ORACLE = """

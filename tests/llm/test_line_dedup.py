@@ -54,6 +54,18 @@ def test_equals_its_sql(spark, rows):
     assert rows_of(df) == sorted(duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({D.ORACLE})").fetchall(), key=repr)
 
 
+def test_a_line_in_every_document(spark, rows):
+    common = "Released under a licence that every document repeats."
+    docs = [(i, f"{common}\n{t}\n{common[:-1]}", *rest) for i, t, *rest in rows]
+    assert rows_of(D.duplicate_lines(table(spark, docs))) == brute(docs)
+
+
+def test_what_lies_beyond_the_parameters_stays(spark):
+    docs = [(1, "short line\nthe very same long line of text", None, None, None), (2, "short line\nthe vary sane long line of text", None, None, None)]
+    assert rows_of(D.duplicate_lines(table(spark, docs))) == []
+    assert rows_of(D.duplicate_lines(table(spark, docs), min_chars=5)) == [(2, 0, 1, 0, 0)]
+
+
 def test_awkward_rows(spark):
     docs = awkward() + [(20, "x" * 5000 + "\n" + "x" * 4999 + "y\nshort\nshort", None, None, None)]
     got = rows_of(D.duplicate_lines(clashing(table(spark, docs))))
