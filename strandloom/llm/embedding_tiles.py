@@ -12,7 +12,10 @@ they are continued.  What remains is verified in double precision.
 
 Tiles meet in the cells of a triangular grid of tile groups: the vectors of two
 groups (``group_tiles`` tiles each) are all that a task holds.  Every pair of
-tiles belongs to exactly one cell, and no pair is left out.
+tiles belongs to exactly one cell.  The bound comes first: from a few numbers of
+each group, cells that can't reach the threshold are never made, and a tile goes
+only to the cells of whose other group it may match something.  What is left is
+quadratic in the worst case, directions without any structure.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that
 hold a null, NaN or infinity have no direction and match nothing.  Pairs have the smaller
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan import cut
+from .plan import cut, small
 from .textkit import tidy
 
 RESULT = "vec_a long, vec_b long, cosine double"
@@ -74,6 +77,12 @@ def reach(a: tuple, b: tuple) -> float:
     return float(ends.max(0).sum() + a[2] * b[2])
 
 
+def _reach_sql(lead: int, a: str, b: str) -> str:
+    """:func:`reach` of two rows of bounds as an expression."""
+    ends = lambda k: ", ".join(f"{a}.{p}[{k}] * {b}.{q}[{k}]" for p in ("lo", "hi") for q in ("lo", "hi"))
+    return " + ".join([f"greatest({ends(k)})" for k in range(lead)] + [f"{a}.rest * {b}.rest"])
+
+
 def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two rotated float32 matrices that may reach the threshold, by leading dimensions and suffix norms."""
     done, goal = 0, np.float32(threshold - SLACK)
@@ -99,6 +108,7 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float, steps: list[int])
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024, group_tiles: int = 8, lead: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``RESULT``: all pairs of ids with a cosine of at least ``threshold``."""
+    kept = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # as exact as they came
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("e")).where("i IS NOT NULL AND e IS NOT NULL AND size(e) > 0")
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(finite & F.exists("e", lambda v: v != 0))
@@ -119,7 +129,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
             x = _matrix(batch.column("e"), size)
             y = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes
             keys = [pa.array(y[:, k] if k < size else np.zeros(len(y))) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), *keys, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y.astype("<f4")], pa.binary())], ["i", "c0", "c1", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), *keys, pa.array([r.tobytes() for r in x.astype(kept)], pa.binary()), pa.array([r.tobytes() for r in y.astype("<f4")], pa.binary())], ["i", "c0", "c1", "x", "y"])
 
     turned = rows.mapInArrow(rotate, "i long, c0 double, c1 double, x binary, y binary")
     # groups by range of the first coordinate, in them tiles by the second
@@ -132,9 +142,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
 
         def row() -> pa.RecordBatch:
             ids = np.array(held["i"], "<i8")
-            values = [[group], [number], [ids.tobytes()], [b"".join(held["x"])], [b"".join(held["y"])]]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["g", "tile", "ids", "x", "y"])
+            lo, hi, rest = _bounds(np.frombuffer(b"".join(held["y"]), "<f4").reshape(-1, size).astype(np.float64), lead)
+            values = [[group], [number], [ids.tobytes()], [b"".join(held["x"])], [b"".join(held["y"])], [lo], [hi], [rest]]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["g", "tile", "ids", "x", "y", "lo", "hi", "rest"])
 
         for batch in batches:
             group = batch.column("g")[0].as_py() if batch.num_rows else group
@@ -148,10 +159,15 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
         if held["i"]:
             yield row()
 
-    packed = cut(ranged.select("i", "x", "y", "g").mapInArrow(pack, "g int, tile int, ids binary, x binary, y binary"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    celled = packed.withColumn("o", other).withColumn("low", F.least("g", "o")).withColumn("high", F.greatest("g", "o"))
-    celled = celled.select((F.col("low").cast("long") * groups + F.col("high")).alias("cell"), "g", "tile", "ids", "x", "y")
+    packed = cut(ranged.select("i", "x", "y", "g").mapInArrow(pack, "g int, tile int, ids binary, x binary, y binary, lo array<double>, hi array<double>, rest double"))
+    ends = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(lead)]).alias(c)
+    bounds = small(cut(packed.groupBy("g").agg(ends(F.min, "lo"), ends(F.max, "hi"), F.max("rest").alias("rest"))))
+    goal = threshold - SLACK
+    cells = bounds.alias("a").crossJoin(bounds.alias("b")).where(F.expr(f"{_reach_sql(lead, 'a', 'b')} >= {goal}"))
+    # each side of a cell has the other's bounds, and each tile goes where it may match
+    sides = cells.select(F.col("a.g").alias("g"), (F.least("a.g", "b.g").cast("long") * groups + F.greatest("a.g", "b.g")).alias("cell"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("b.rest").alias("rest"))
+    tiles_ = packed.alias("p").join(small(cut(sides)).alias("o"), F.expr("p.g = o.g"))
+    celled = tiles_.where(F.expr(f"{_reach_sql(lead, 'p', 'o')} >= {goal}")).select("o.cell", "p.g", "p.tile", "p.ids", "p.x", "p.y")
 
     def compare(tiles: list[tuple], cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low, high = divmod(cell, groups)
@@ -184,7 +200,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, tile: int = 1024,
                     held = []
                 now = cell
                 turned = np.frombuffer(y, "<f4").reshape(-1, size)
-                held.append((g, t, np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f8").reshape(-1, size), turned, _bounds(turned.astype(np.float64), lead)))
+                held.append((g, t, np.frombuffer(ids, "<i8"), np.frombuffer(x, kept).astype(np.float64).reshape(-1, size), turned, _bounds(turned.astype(np.float64), lead)))
         if held:
             yield emit()
 

@@ -47,6 +47,16 @@ def test_bounds_hold():
         assert (x[:100] @ x[100:].T).max() <= E.reach(a, b) + 1e-5
 
 
+def test_the_bound_in_sql_is_the_bound(spark):
+    x = vectors(300).astype(np.float64)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for lead in (1, 3):
+        bounds = [E._bounds(x[k : k + 50], lead) for k in range(0, 300, 50)]
+        df = spark.createDataFrame([(k, b[0].tolist(), b[1].tolist(), b[2]) for k, b in enumerate(bounds)], "k int, lo array<double>, hi array<double>, rest double")
+        got = df.alias("a").crossJoin(df.alias("b")).selectExpr("a.k", "b.k AS m", E._reach_sql(lead, "a", "b") + " AS r").collect()
+        assert all(abs(r.r - E.reach(bounds[r.k], bounds[r.m])) < 1e-9 for r in got)
+
+
 def test_awkward_rows(spark):
     v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
     nan = float("nan")

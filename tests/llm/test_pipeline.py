@@ -52,8 +52,9 @@ def test_run_and_registration(spark, folder):
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
 
 
-@pytest.mark.parametrize("name", ["op3_embedding_tiles", "op8_line_dedup", "op10_warc_zstd"])
+@pytest.mark.parametrize("name", ["op3_embedding_tiles", "embedding_tiles_loose", "op8_line_dedup", "op10_warc_zstd"])
 def test_queries_equal_their_sql(spark, sf, name):
     from tests.compare import connect, same
 
-    same(entry.queries()[name](spark, sf), connect(sf), entry.oracle_sql()[name])
+    rows = same(entry.queries()[name](spark, sf), connect(sf), entry.oracle_sql()[name])
+    assert rows > 0 or name == "op3_embedding_tiles"  # these vectors have no near-duplicates, which is why there is the loose one
