@@ -1,33 +1,45 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-A candidate is a run of 16 or more key characters, of at least two classes
-(digits, lower case, upper case after the first letter, symbols), that follows
-a sensitive word within ``reach`` characters.  Its novelty is the number of
-bytes that it adds to the zstandard compression of the text around it, primed
-with a dictionary of identifiers, beyond what one repeated letter in its place adds (so
-that the cost of cutting into the surroundings doesn't count): ``C(before +
-candidate + after) - C(before + "x...x" + after)``.  Words, names, placeholders and repetitions are predicted by the
-dictionary or the surroundings and add little; random strings can't be and add
-all that their alphabet can carry (half a byte a hexadecimal digit).  Candidates
-are reported that add ``min_bytes`` or more and at least ``min_ratio`` of that
-capacity.
+Two kinds of strings in a sensitive context are candidates, both of at least
+two classes (digits, lower case, upper case after the first letter, symbols; in
+one of under ``min_run`` characters, what joins words is no symbol):
+
+* what is assigned to a sensitive word (``word = value``, ``"word": "value"``,
+  ``word => value``): all up to the closing quotation mark, or to the next blank
+  or delimiter, with its punctuation, from ``min_value`` characters on;
+* runs of ``min_run`` or more key characters that begin within ``reach``
+  characters after a sensitive word.
+
+Of overlapping candidates the longest is measured.  Its novelty is the number
+of bytes that it adds to zstandard's compression where it stands: the dictionary
+is the identifiers, the text after and the text before it, and the frame is the
+end of the text before it, which costs next to nothing, with and without the
+candidate.  ``C(lead + candidate) - C(lead)``, both primed with the surroundings.
+Words, names, placeholders and repetitions are found in the dictionary and add
+little; random strings aren't and add all that their alphabet can carry (half a
+byte a hexadecimal digit) and more.  Candidates are reported that add
+``min_bytes`` or more and at least ``min_ratio`` of that capacity.
 
 The dictionary is a fixed list of programming identifiers and the ``words``
 most frequent lower-case words (of 3 to 15 letters, in two windows or more) of
-the windows of all candidates; secrets themselves never get into it.
+the windows of all candidates, counted in a pass of their own.  No candidate is
+ever written anywhere, neither into a checkpoint nor into the result, which has
+its place, a masked form and a fingerprint.
 
 Cases: null and empty texts hold nothing.  Every occurrence is reported, in
-repeated rows too; of overlapping runs there is only the longest.  Null ids are
-carried as null.  An empty table gives an empty result.  Texts are scanned
-whole; columns other than id and text aren't read.  The secret itself isn't in
-the result, only its place, a masked form and a fingerprint.
+repeated rows too.  Null ids are carried as null.  An empty table gives an empty
+result.  Texts are scanned whole; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
+import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +47,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan import cut
 from .textkit import chunks, tidy
 
 KEYWORD = r"(?:api|access|secret|private|auth|client|session|encryption|signing)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passphrase|pwd|credentials?|bearer|authorization"
-_KEYWORD = re.compile(KEYWORD, re.IGNORECASE)
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_KEYWORD = re.compile(KEYWORD, re.IGNORECASE | re.ASCII)
+#: Every text with a sensitive word, in lower case, has one of the first, or one of the second and one of the third.
+_ALONE, _FIRST, _SECOND = ("token", "secret", "passw", "passphrase", "pwd", "credential", "bearer", "authorization"), ("api", "access", "private", "auth", "client", "session", "encryption", "signing"), ("key", "id")
+_ASSIGNED = re.compile(r"""[\w.-]{0,64}["'`\])}]{0,2}[ \t]*(?:=>|:=|==|[:=])[ \t]*(?:(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))[^\s\\]|\\.)+)(?P=q)|(?P<bare>[^\s"'`,;<>(){}\[\]]+))""")
+_SYMBOL = re.compile(r"[^A-Za-z0-9]")
 IDENTIFIERS = (
     "function return const static public private class import from default export async await string number boolean object value index length result response request "
     "client server config settings options password passwd secret token access_key api_key apikey private_key authorization bearer credentials username user_name "
@@ -51,9 +65,9 @@ IDENTIFIERS = (
 RESULT = "doc_id long, start int, length int, keyword string, added_bytes int, novelty double, masked string, fingerprint string"
 
 
-def _classes(run: str) -> int:
-    body = run[1:]
-    return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in body) + any(c in "+/_=-" for c in run.rstrip("="))
+def _classes(run: str, min_run: int) -> int:
+    body, symbols = run[1:], _SYMBOL.findall(run.rstrip("="))
+    return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in body) + any(len(run) >= min_run or c not in "-_./:" for c in symbols)
 
 
 def capacity(run: str) -> float:
@@ -61,68 +75,98 @@ def capacity(run: str) -> float:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         size = 16
     else:
-        size = 10 * any(c.isdigit() for c in run) + 26 * any(c.islower() for c in run) + 26 * any(c.isupper() for c in run) + 2 * any(not c.isalnum() for c in run)
+        symbols = set(_SYMBOL.findall(run))
+        size = 10 * any(c.isdigit() for c in run) + 26 * any(c.islower() for c in run) + 26 * any(c.isupper() for c in run) + (2 if symbols <= set("+/_-=") else 32) * bool(symbols)
     return len(run) * math.log2(max(size, 2)) / 8
 
 
-def candidates(text: str, reach: int, window: int) -> Iterator[tuple[int, str, str, str, str]]:
-    """(start, keyword, before, run, after) of each candidate of a text; other copies of the run are cut out of what surrounds it."""
-    runs = None
-    words = list(_KEYWORD.finditer(text))
-    k = 0
-    for run in _RUN.finditer(text) if words else ():
-        start, end = run.span()
-        while k + 1 < len(words) and words[k + 1].end() <= start:
+def places(text: str, reach: int, min_run: int, min_value: int) -> list[tuple[int, int, str]]:
+    """(start, end, sensitive word) of the candidates of a text, in order, none within another."""
+    words, found, k, end = list(_KEYWORD.finditer(text)), [], 0, 0
+    for word in words:
+        m = _ASSIGNED.match(text, word.end()) if word.start() >= end else None  # a value's own words have no values
+        if m:
+            start, end = m.span("quoted" if m["quoted"] is not None else "bare")
+            if end - start >= min_value:
+                found.append((start, end, word.group().lower()))
+    for run in re.finditer(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % min_run, text) if words else ():
+        while k + 1 < len(words) and words[k + 1].end() <= run.start():
             k += 1
-        runs = words[k]
-        if runs.end() <= start <= runs.end() + reach and _classes(run.group()) >= 2:
-            # a secret that stands there twice is no more predictable for that
-            before, after = text[max(0, start - window) : start], text[end : end + window // 2]
-            yield start, runs.group().lower(), before.replace(run.group(), " "), run.group(), after.replace(run.group(), " ")
+        if words[k].end() <= run.start() <= words[k].end() + reach:
+            found.append((*run.span(), words[k].group().lower()))
+    out: list[tuple[int, int, str]] = []
+    for x in sorted(found, key=lambda x: (x[0] - x[1], x[0])):  # the longest first
+        at = bisect.bisect(out, x)
+        if _classes(text[x[0] : x[1]], min_run) >= 2 and (not at or out[at - 1][1] <= x[0]) and (at == len(out) or x[1] <= out[at][0]):
+            out.insert(at, x)
+    return out
 
 
-def added_bytes(compressor: zstandard.ZstdCompressor, before: str, run: str, after: str) -> int:
-    """Bytes that the run adds to the compression of what surrounds it, beyond those of a repeated letter."""
-    size = lambda x: len(compressor.compress((before + x + after).encode()))
-    return size(run) - size("x" * len(run))
+def candidates(text: str, reach: int, window: int, min_run: int = 16, min_value: int = 8) -> Iterator[tuple[int, str, str, str, str]]:
+    """(start, keyword, before, run, after) of each candidate of a text; other copies of the run are cut out of what surrounds it."""
+    for start, end, word in places(text, reach, min_run, min_value):
+        run, before, after = text[start:end], text[max(0, start - window) : start], text[end : end + window // 2]
+        # a secret that stands there twice is no more predictable for that
+        yield start, word, before.replace(run, " "), run, after.replace(run, " ")
 
 
-def dictionary(found: DataFrame, words: int) -> bytes:
-    """Identifier dictionary, the most frequent words last, where zstandard reaches them most cheaply."""
-    lower = F.lower(F.concat_ws(" ", "before", "after"))
-    each = found.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit("(?<![a-z0-9])[a-z]{3,15}(?![a-z0-9])"), F.lit(0)))).alias("w"))
-    top = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "w").limit(words).collect()
-    return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
+def added_bytes(primed: bytes, before: str, run: str, after: str, level: int = 12) -> int:
+    """Bytes that the run adds to the compression of what leads to it, given its surroundings and the identifiers."""
+    raw = lambda x: x.encode("utf-8", "replace")
+    known = zstandard.ZstdCompressionDict(primed + raw(f"{after} {before}"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compressor = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False)
+    lead = raw(before[-96:])
+    return len(compressor.compress(lead + raw(run))) - len(compressor.compress(lead))
 
 
-def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_bytes: int = 8, min_ratio: float = 0.75, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``RESULT``: one row for each incompressible string in a sensitive context."""
+_WORD = re.compile(r"(?<![a-z0-9])[a-z]{3,15}(?![a-z0-9])")
+
+
+def dictionary(texts: DataFrame, words: int, reach: int, window: int, min_run: int, min_value: int) -> bytes:
+    """Identifier dictionary, the most frequent words last, where zstandard reaches them most cheaply."""
 
     @tidy
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in chunks(batches, "t"):
-            out = [(i, *c) for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()) for c in candidates(t, reach, window)]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-            columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["i", "start", "keyword", "before", "run", "after"])
+            for t in batch.column("t").to_pylist():
+                for _, _, before, _, after in candidates(t, reach, window, min_run, min_value):
+                    seen.update(set(_WORD.findall(f"{before} {after}".lower())))
+            if len(seen) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()))], ["w", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+
+    counted = texts.select("t").mapInArrow(near, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    top = counted.where("n >= 2").orderBy(F.col("n").desc(), "w").limit(words).collect()
+    return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
+
+
+def _sensitive(t: F.Column) -> F.Column:
+    """Whether a text may have a sensitive word; plain searches, which are much cheaper than the expression."""
+    low = F.lower(t)
+    any_of = lambda stems: functools.reduce(operator.or_, [F.contains(low, F.lit(x)) for x in stems])
+    return any_of(_ALONE) | (any_of(_FIRST) & any_of(_SECOND))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    sensitive = rows.where(F.col("t").rlike(f"(?i){KEYWORD}"))
-    found = cut(sensitive.mapInArrow(find, "i long, start int, keyword string, before string, run string, after string"))
-    primed = dictionary(found, words)
+
+def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_run: int = 16, min_value: int = 8, min_bytes: int = 7, min_ratio: float = 1.0, level: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``RESULT``: one row for each incompressible string in a sensitive context."""
+    sensitive = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(_sensitive(F.col("t")))
+    primed = dictionary(sensitive, words, reach, window, min_run, min_value)
 
     @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
-        for batch in batches:
+        for batch in chunks(batches, "t"):
             out = []
-            for i, start, keyword, before, run, after in zip(*(batch.column(c).to_pylist() for c in ("i", "start", "keyword", "before", "run", "after"))):
-                n = added_bytes(compressor, before, run, after)
-                novelty = n / capacity(run)
-                if n >= min_bytes and novelty >= min_ratio:
-                    out.append((i, start, len(run), keyword, n, novelty, f"{run[:2]}...{run[-2:]}", hashlib.sha256(run.encode()).hexdigest()))
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
+                for start, keyword, before, run, after in candidates(t, reach, window, min_run, min_value):
+                    n = added_bytes(primed, before, run, after, level)
+                    novelty = n / capacity(run)
+                    if n >= min_bytes and novelty >= min_ratio:
+                        shown = min(2, len(run) // 8)
+                        out.append((i, start, len(run), keyword, n, novelty, f"{run[:shown]}...{run[len(run) - shown :]}", hashlib.sha256(run.encode("utf-8", "replace")).hexdigest()))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string()]
             columns = list(zip(*out)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return found.mapInArrow(measure, RESULT)
+    return sensitive.mapInArrow(measure, RESULT)
