@@ -13,15 +13,21 @@ looked up in a Bloom bitmap of fixed size (8 MB) that is built from all
 benchmark seeds.  It can only let too much through, so the join that follows is
 exact at any benchmark size, and what is broadcast doesn't grow.
 
-Cases: null and empty texts and items match nothing.  Items shorter than the
-masks are hashed whole (``MIN_ITEM`` tokens at least; shorter items would match
-everywhere and are ignored).  Repeated rows and ids are told apart by row, null
+Items of under 17 tokens are too short for the masks to survive the
+substitutions that verification accepts, so such an item has masks of its own
+length: it is cut into two pieces more than it may have substitutions, and each
+mask ignores as many pieces as that, which leaves one that no substitution hits.
+
+Cases: null and empty texts and items match nothing.  Items under ``min_item``
+tokens would match everywhere and are ignored.  Repeated rows and ids are told apart by row, null
 ids are carried as null; equal items each report their own rows.  Empty tables
 give an empty result.  Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +41,8 @@ from .textkit import Tokens, as_int64, chunks, list_array, mix64, tidy
 
 #: Weight 6 in a span of 9 to 12: one of them survives any two substitutions in 15 tokens or more.
 MASKS = ("111001011", "110100110001", "101110000111")
-MIN_ITEM = 5
+#: The least number of tokens from which the masks suffice.
+ENOUGH = 17
 RESULT = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_match int"
 
 
@@ -61,33 +68,47 @@ def seeds(tokens: Tokens, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _short_masks(items: DataFrame) -> list[str]:
-    """Masks of whole items that are shorter than the longest mask."""
-    most = max(map(len, MASKS))
-    limit = most - 1
+def masks_of(n: int, min_match: int) -> tuple[str, ...]:
+    """Masks of a short item's whole length: whatever substitutions it may have, one of them ignores all."""
+    lost = n - needed(n, min_match)
+    edges = [n * k // (lost + 2) for k in range(lost + 3)]
+    out = []
+    for gone in itertools.combinations(range(lost + 2), lost):
+        out.append("".join("0" if any(edges[g] <= i < edges[g + 1] for g in gone) else "1" for i in range(n)))
+    return tuple(out)
+
+
+def needed(n: int, min_match: int) -> int:
+    """Equal tokens that an overlap with an item of n tokens must have."""
+    return min(min_match, math.ceil(0.8 * n))
+
+
+def _short_masks(items: DataFrame, min_match: int, min_item: int) -> dict[int, tuple[str, ...]]:
+    """The masks of each length of short items that there is."""
 
     @tidy
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             n = np.unique(np.diff(Tokens(batch.column("t").to_pylist()).offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(n[(n >= MIN_ITEM) & (n <= limit)].astype(np.int32))], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(n[(n >= min_item) & (n < ENOUGH)].astype(np.int32))], ["n"])
 
-    return ["1" * r.n for r in items.select("t").mapInArrow(lengths, "n int").distinct().orderBy("n").collect()]
+    return {r.n: masks_of(r.n, min_match) for r in items.select("t").mapInArrow(lengths, "n int").distinct().orderBy("n").collect()}
 
 
-def _seed_table(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(h, item, p) of all seeds of the items; the masks of short lengths only apply to items of such a length."""
-    short = masks[len(MASKS) :]
+def _seed_table(items: DataFrame, short: dict[int, tuple[str, ...]]) -> DataFrame:
+    """(h, item, p) of all seeds of the items, by the masks or by those of their length."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             tokens = Tokens(batch.column("t").to_pylist())
-            h, text, at = seeds(tokens, masks)
-            # a short item's mask is for items of that length alone
-            whole = np.isin(h, np.concatenate([seeds(tokens, (m,))[0] for m in short])) if short else np.zeros(len(h), bool)
-            fits = ~whole | np.isin(np.diff(tokens.offsets)[text], [len(m) for m in short])
-            h, text, at = h[fits], text[fits], at[fits]
+            size = np.diff(tokens.offsets)
+            parts = []
+            for lengths, masks in (((ENOUGH, None), MASKS), *(((n, n), m) for n, m in short.items())):
+                h, text, at = seeds(tokens, masks)
+                fits = (size[text] >= lengths[0]) & (size[text] <= (lengths[1] or size.max(initial=0)))
+                parts.append((h[fits], text[fits], at[fits]))
+            h, text, at = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([pa.array(as_int64(h)), batch.column("item").take(pa.array(text)), pa.array(at.astype(np.int32))], ["h", "item", "p"])
 
     return items.select("item", "t").mapInArrow(run, "h long, item long, p int")
@@ -109,16 +130,17 @@ def overlaps(doc: np.ndarray, item: np.ndarray, diagonals: list[int], min_match:
         equal = item[lo:hi] == doc[lo + d : hi + d]
         a, b = _segment(equal)
         match = int(equal[a:b].sum())
-        if match >= min(min_match, np.ceil(0.8 * len(item))) and match >= min_identity * (b - a) and (best is None or match > best[3]):
+        if match >= needed(len(item), min_match) and match >= min_identity * (b - a) and (best is None or match > best[3]):
             best = (lo + a + d, lo + a, b - a, match)
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_identity: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min_identity: float = 0.75, min_item: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``RESULT`` plus the text key ``tk``: the best verified overlap of each document and item that overlap."""
     items = cut(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("t")).where("t IS NOT NULL").withColumn("item", F.monotonically_increasing_id()))
-    masks = (*MASKS, *_short_masks(items))
-    table = cut(_seed_table(items, masks))
+    short = _short_masks(items, min_match, min_item)
+    masks = (*MASKS, *itertools.chain.from_iterable(short.values()))
+    table = cut(_seed_table(items, short))
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(bloom.bitmap(table))
 
@@ -137,9 +159,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     hits = cut(own.mapInArrow(probe, "i long, t string, hs array<long>, ps array<long>").withColumn("row", F.monotonically_increasing_id()))
     exploded = hits.select("row", F.explode(F.arrays_zip("hs", "ps")).alias("z")).select("row", F.col("z.hs").alias("h"), F.col("z.ps").alias("at"))
-    joined = exploded.join(table, "h").select("row", "item", (F.col("at") - F.col("p")).alias("d")).distinct()
-    by_item = joined.groupBy("row", "item").agg(F.collect_list("d").alias("ds")).join(items.select("item", "item_id", F.col("t").alias("it")), "item")
-    by_row = by_item.groupBy("row").agg(F.collect_list(F.struct("item", "item_id", "it", "ds")).alias("found"))
+    # a seed that both sides have often: the benchmark's side is broadcast while it is small, and split by AQE beyond
+    joined = exploded.join(small(table), "h").select("row", "item", (F.col("at") - F.col("p")).alias("d")).distinct()
+    by_item = joined.groupBy("row", "item").agg(F.collect_list("d").alias("ds")).join(small(items.select("item", "item_id", F.col("t").alias("it")), 10_000), "item")
+    # the items that one document meets come in parts, so that no row has to hold a whole benchmark
+    by_row = by_item.groupBy("row", F.pmod(F.xxhash64("item"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("item", "item_id", "it", "ds")).alias("found"))
 
     @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
             columns = list(zip(*out)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_match", "tk"])
 
-    rows = hits.select("row", "i", "t", text_key(F.col("t")).alias("tk")).join(by_row, "row")
+    rows = hits.select("row", "i", "t", text_key(F.col("t")).alias("tk")).join(by_row.drop("part"), "row")
     return rows.select("i", "tk", "t", "found").mapInArrow(verify, RESULT + ", tk long")
 
 

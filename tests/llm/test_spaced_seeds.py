@@ -55,6 +55,24 @@ def test_masks_survive_two_substitutions():
             assert any(all(o + i not in gone for i in S._offsets(m)) for m in S.MASKS for o in range(n - len(m) + 1))
 
 
+def test_short_items_survive_all_that_verification_accepts(spark):
+    rng = random.Random(17)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(3, 17)]
+    docs, truth = [], set()
+    for n, text in items:
+        lost = n - S.needed(n, 13)
+        for gone in itertools.combinations(range(n), lost):
+            words = ["other" if k in gone else w for k, w in enumerate(text.split())]
+            i = len(docs)
+            docs.append((i, f"{sentence(rng, n=20)} {' '.join(words)} {sentence(rng, n=20)}", "en", "s", None))
+            if n >= 5 and brute(docs[i][1], text):
+                truth.add((i, n))
+    got = {(r.doc_id, r.item_id) for r in S.contaminated(table(spark, docs), table(spark, items, ITEMS)).collect()}
+    assert got == truth and len(truth) > 300
+    least = {r.item_id for r in S.contaminated(table(spark, docs), table(spark, items, ITEMS), min_item=3).collect()}
+    assert least == set(range(3, 17))
+
+
 def test_awkward_rows(spark):
     docs = table(spark, awkward())
     same = awkward()[0][1]
@@ -71,7 +89,7 @@ def test_awkward_rows(spark):
 
 def test_no_seed_is_lost_in_the_bitmap(spark, planted):
     _, items, _ = planted
-    seeds = S._seed_table(table(spark, items, ITEMS).selectExpr("item_id AS item", "text AS t"), S.MASKS)
+    seeds = S._seed_table(table(spark, items, ITEMS).selectExpr("item_id AS item", "text AS t"), {9: S.masks_of(9, 13)})
     bits = bloom.bitmap(seeds)
     h = np.array([r.h for r in seeds.collect()]).view(np.uint64)
     for b in bloom.bits(h):
