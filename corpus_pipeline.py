@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import containment_dedup, language_mix, spaced_seeds, temperature_mix, token_frames
 from strandloom.llm.plan import here, shared_dir, table
+from strandloom.sinks import files
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``, each written to the shared folder and read again by the next.
+
+    What a stage has written is deleted once the next one is done with it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark, before)
+        before = path
     return docs
 
 
