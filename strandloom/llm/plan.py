@@ -14,10 +14,18 @@ from ..operators.shared import folder as shared_dir
 __all__ = ["cut", "here", "shared_dir", "small", "table", "text_key"]
 
 
+#: What a Python worker gets at once where the session doesn't say: ten thousand texts, or 64 MB, are much.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def here(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; elsewhere ship it with ``--py-files``."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; ten thousand texts are much for a worker
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Let Python workers import this package from where the driver has it; elsewhere ship it with ``--py-files``.
+
+    Batches to workers get smaller unless the session has limits of its own.
+    """
+    for name, ours in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, ours)
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -173,10 +174,12 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(windows(tokens.hashes, tokens.offsets, k)[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` has about ``limit`` bytes in each; a longer text stands alone."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, *more: str) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that ``column``, with ``more`` ones, has about ``limit`` bytes in each; a longer text stands alone."""
     for batch in batches:
-        sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)]) if batch.num_rows else np.empty(0, dtype=int)
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for name in (column, *more):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0), dtype=np.int64)
         total, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             done = total[start - 1] if start else 0
