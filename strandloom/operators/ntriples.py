@@ -28,7 +28,18 @@ def escape(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: What an IRI can't have between its angle brackets.
+_FORBIDDEN = '[\\x00-\\x20<>"{}|^`\\\\]'
+
+
+def valid_iri(c: Column) -> Column:
+    """The IRI with the characters that N-Triples forbids in one percent-encoded; most have none and stay as they are."""
+    one = lambda x: F.when(x.rlike(_FORBIDDEN), F.concat(F.lit("%"), F.lpad(F.hex(F.encode(x, "UTF-8")), 2, "0"))).otherwise(x)
+    return F.when(c.rlike(_FORBIDDEN), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
 def _node(value: Column, kind: Column) -> Column:
+    value = F.when(kind == "blank", value).otherwise(valid_iri(value))
     return F.when(kind == "blank", F.concat(F.lit("_:"), F.regexp_replace(value, "[^A-Za-z0-9]", "_"))).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
 
 

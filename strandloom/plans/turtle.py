@@ -166,6 +166,30 @@ _KNOWN = {
 _KINDS = {RR + "IRI": "iri", RR + "Literal": "literal", RR + "BlankNode": "blank"}
 
 
+def to_turtle(maps: list[TriplesMap]) -> str:
+    """A mapping document that :func:`load_mapping` reads as these maps; a start for one's own."""
+    quoted = lambda x: '"' + re.sub(r'["\\\\]', lambda m: "\\" + m.group(), x).replace("\n", "\\n").replace("\r", "\\r") + '"'
+
+    def term(t: Term) -> str:
+        said = [f"rr:template {quoted(t.template)}"] if t.template is not None else [f"rml:reference {quoted(t.reference)}"] if t.reference is not None else [f"rr:constant {f'<{t.constant}>' if t.kind == 'iri' else quoted(t.constant)}"]
+        said += [f"rr:termType rr:{dict(iri='IRI', literal='Literal', blank='BlankNode')[t.kind]}"]
+        said += [f"rr:datatype <{t.datatype}>"] if t.datatype else []
+        return " ; ".join(said + ([f"rr:language {quoted(t.language)}"] if t.language else []))
+
+    def target(o: Term | Join) -> str:
+        if isinstance(o, Term):
+            return term(o)
+        return f"rr:parentTriplesMap <#{o.parent.rpartition('#')[2]}>" + "".join(f" ; rr:joinCondition [ rr:child {quoted(a)} ; rr:parent {quoted(b)} ]" for a, b in o.conditions)
+
+    out = [f"@prefix rr: <{RR}> .", f"@prefix rml: <{RML}> ."]
+    for m in maps:
+        classes = "".join(f" ; rr:class <{c}>" for c in m.classes)
+        lines = [f"<#{m.name.rpartition('#')[2]}> rml:logicalSource [ rml:source {quoted(m.source + '.tsv')} ]", f"  rr:subjectMap [ {term(m.subject)}{classes} ]"]
+        lines += [f"  rr:predicateObjectMap [ rr:predicateMap [ {term(p)} ] ; rr:objectMap [ {target(o)} ] ]" for p, o in m.pairs]
+        out.append(" ;\n".join(lines) + " .")
+    return "\n\n".join(out) + "\n"
+
+
 def load_mapping(text: str) -> list[TriplesMap]:
     """The triples maps of a mapping document; unsupported constructs are an error that names them."""
     triples = parse(text)

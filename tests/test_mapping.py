@@ -113,3 +113,19 @@ def test_dictionary(spark, variants):
     d = {r.id: r.term for r in dictionary.collect()}
     assert sorted(d) == list(range(1, len(d) + 1)) and [d[k] for k in sorted(d)] == sorted(d.values(), key=lambda x: x.encode())
     assert {f"{d[r.s_id]} {d[r.p_id]} {d[r.o_id]} ." for r in coded.collect()} == {r.value for r in ntriples.render(t).collect()}
+
+
+def test_maps_survive_being_written(variants):
+    from dataclasses import replace
+
+    from strandloom.plans.turtle import to_turtle
+
+    plain = lambda maps: [replace(m, name=m.name.rpartition("#")[2], pairs=tuple((p, replace(o, parent=o.parent.rpartition("#")[2]) if hasattr(o, "parent") else o) for p, o in m.pairs)) for m in maps]
+    for maps in (default_mapping(), load_mapping(PEOPLE), [TriplesMap("x", "t", Term(template='urn:"\\\\{a}', kind="iri"), (), ((iri("urn:p"), Term(constant='a "quoted"\nline')),))]):
+        assert plain(load_mapping(to_turtle(maps))) == plain(maps)
+
+
+def test_forbidden_characters_of_an_iri_are_encoded(spark):
+    rows = spark.createDataFrame([("urn:a b",), ("urn:<x>|^`{}\\\"",), ("urn:ok#é%20",)], "v string")
+    got = [r[0] for r in rows.select(ntriples.valid_iri(F.col("v"))).collect()]
+    assert got == ["urn:a%20b", "urn:%3Cx%3E%7C%5E%60%7B%7D%5C%22", "urn:ok#é%20"]
