@@ -34,10 +34,8 @@ result.  Texts are scanned whole; columns other than id and text aren't read.
 from __future__ import annotations
 
 import bisect
-import functools
 import hashlib
 import math
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -80,6 +78,12 @@ def capacity(run: str) -> float:
     return len(run) * math.log2(max(size, 2)) / 8
 
 
+def sensitive(text: str | None) -> bool:
+    """Whether a text may have a sensitive word: plain searches, which are much cheaper than the expression."""
+    low = text.lower() if text else ""
+    return any(x in low for x in _ALONE) or (any(x in low for x in _SECOND) and any(x in low for x in _FIRST))
+
+
 def places(text: str, reach: int, min_run: int, min_value: int) -> list[tuple[int, int, str]]:
     """(start, end, sensitive word) of the candidates of a text, in order, none within another."""
     words, found, k, end = list(_KEYWORD.finditer(text)), [], 0, 0
@@ -129,7 +133,7 @@ def dictionary(texts: DataFrame, words: int, reach: int, window: int, min_run: i
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in chunks(batches, "t"):
-            for t in batch.column("t").to_pylist():
+            for t in filter(sensitive, batch.column("t").to_pylist()):
                 for _, _, before, _, after in candidates(t, reach, window, min_run, min_value):
                     seen.update(set(_WORD.findall(f"{before} {after}".lower())))
             if len(seen) > 1 << 16:
@@ -142,23 +146,18 @@ def dictionary(texts: DataFrame, words: int, reach: int, window: int, min_run: i
     return (IDENTIFIERS + " ".join(r.w for r in reversed(top))).encode()
 
 
-def _sensitive(t: F.Column) -> F.Column:
-    """Whether a text may have a sensitive word; plain searches, which are much cheaper than the expression."""
-    low = F.lower(t)
-    any_of = lambda stems: functools.reduce(operator.or_, [F.contains(low, F.lit(x)) for x in stems])
-    return any_of(_ALONE) | (any_of(_FIRST) & any_of(_SECOND))
-
-
 def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096, min_run: int = 16, min_value: int = 8, min_bytes: int = 7, min_ratio: float = 1.0, level: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``RESULT``: one row for each incompressible string in a sensitive context."""
-    sensitive = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(_sensitive(F.col("t")))
-    primed = dictionary(sensitive, words, reach, window, min_run, min_value)
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    primed = dictionary(texts, words, reach, window, min_run, min_value)
 
     @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             out = []
             for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
+                if not sensitive(t):
+                    continue
                 for start, keyword, before, run, after in candidates(t, reach, window, min_run, min_value):
                     n = added_bytes(primed, before, run, after, level)
                     novelty = n / capacity(run)
@@ -169,4 +168,4 @@ def scan(docs: DataFrame, reach: int = 48, window: int = 512, words: int = 4096,
             columns = list(zip(*out)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return sensitive.mapInArrow(measure, RESULT)
+    return texts.mapInArrow(measure, RESULT)
