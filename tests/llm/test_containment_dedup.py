@@ -167,3 +167,49 @@ def test_a_group_linked_through_one_text_stays_together(spark):
     root = components(sets, order_of(sets, texts))[0]
     got = D.duplicates(table(spark, [(k, t, "en", "s", None) for k, t in texts.items()])).collect()
     assert {r.doc_id: r.duplicate_of for r in got} == {i: r for i, r in root.items() if r != i} and len(got) >= 18
+
+
+def test_no_bucket_hides_a_text_that_contains_another(spark):
+    """Between each text and the one that holds it, larger and smaller texts have half of its shingles each."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for g in range(12):
+        part = sentence(rng, n=110).split()
+        rows.append((100 * g, " ".join(part)))
+        rows.append((100 * g + 1, sentence(rng, n=600) + " " + " ".join(part) + " " + sentence(rng, n=600)))
+        want[100 * g] = 100 * g + 1
+        for k in range(8):  # runs of ten words of the text, among others
+            runs = [part[j : j + 14] if rng.random() < 0.55 else sentence(rng, n=14).split() for j in range(0, 110, 10)]
+            filler = 200 if k % 2 else 1600
+            rows.append((100 * g + 10 + k, " ".join(sentence(rng, n=filler // 11) + " " + " ".join(r) for r in runs)))
+    sets = {i: shingles(t) for i, t in rows}
+    held = {(q, x) for q in want for x in sets if q != x and len(sets[q] & sets[x]) >= 0.65 * len(sets[q])}
+    assert {(q, x) for q, x in want.items()} <= held
+    got = {r.doc_id: r.duplicate_of for r in D.duplicates(table(spark, [(i, t, "en", "s", None) for i, t in rows])).collect()}
+    assert set(got) == {q for q, _ in held} and all((q, x) in held for q, x in got.items())
+
+
+def test_few_jobs_and_few_pairs_whatever_the_groups(spark, monkeypatch):
+    """What the driver plans, and the pairs that are checked, don't grow with a crowded group's pairs."""
+    rng = random.Random(33)
+    base = sentence(rng, n=200)
+    rows = [(k, edited(rng, base, 0.03), "en", "s", None) for k in range(300)]
+    rows += [(1000 + k, " ".join(base.split()[40 : 55 + k % 3]), "en", "s", None) for k in range(300)]
+    verified, seen = D._verified, []
+    monkeypatch.setattr(D, "_verified", lambda pairs, *more: seen.append(pairs) or verified(pairs, *more))
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        dropped = D.duplicates(table(spark, rows)).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert dropped == 599 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 80
+    assert sum(p.count() for p in seen) < 40 * 600
+
+
+def test_components_by_all_tasks_and_by_one_are_the_same(spark):
+    rng = random.Random(6)
+    edges = {(rng.randrange(300), rng.randrange(300)) for _ in range(200)} | {(k, k + 1) for k in range(400, 460)}
+    rows = [(max(e), 5, min(e), 5 + (min(e) % 3 == 0)) for e in edges if e[0] != e[1]]
+    size = {i: 5 + (i % 3 == 0) for e in edges for i in e}
+    df = spark.createDataFrame([(q, size[q], x, size[x]) for q, _, x, _ in rows], "q long, nq int, x long, nx int")
+    assert rows_of(D._roots(df), "u", "root") == rows_of(D._roots(df, here=0), "u", "root")
