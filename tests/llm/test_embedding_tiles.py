@@ -65,3 +65,36 @@ def test_awkward_rows(spark):
     got = rows_of(E.similar_pairs(df))
     assert [g[:2] for g in got] == [(1, 2)] and abs(got[0][2] - 1) < 1e-12
     assert E.similar_pairs(table(spark, [], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_classes_and_links_against_brute_force(spark, repeated):
+    x = vectors()
+    ids = [k if not repeated or k % 50 else k // 2 for k in range(len(x))]
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, x)] + [(5000, None, 0), (5001, [0.0] * 24, 0), (None, x[0].tolist(), 0)]
+    pairs = brute(ids, x, 0.9)
+    root = {i: i for i in [*ids, 5000, 5001]}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    want = sorted((i, r, sum(i in p for p in pairs)) for i, r in root.items())
+    got = rows_of(E.similar_classes(table(spark, rows, SCHEMA), 0.9, tile=64, group_tiles=3, lead=4), "vec_id", "class_id", "links")
+    assert got == sorted(want, key=repr) and max(n for *_, n in got) >= 29 and len(got) == len(root)
+
+
+def test_the_query_has_a_row_a_vector_and_equals_its_sql(spark, tmp_path):
+    from strandloom.llm import queries
+    from tests.compare import connect, same
+
+    for n in (200, 400):  # half of them copies: the pairs grow with the square
+        x = vectors(n)
+        x[: n // 2] = x[0]
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        df = table(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+        df.toPandas().to_parquet(folder / "embeddings.parquet")
+        found = queries.op3_embedding_tiles(spark, str(folder))
+        assert same(found, connect(str(folder)), queries.oracle_sql()["op3_embedding_tiles"]) == n
