@@ -50,9 +50,9 @@ def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def seeds(tokens: Tokens, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes of all windows inside one text, their text numbers and token positions."""
-    text, out = tokens.text_of(), []
+def seeds_by_mask(tokens: Tokens, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Seed hashes of all windows inside one text, their text numbers and token positions, a mask at a time."""
+    text = tokens.text_of()
     for mask in masks:
         n = len(tokens.hashes) - len(mask) + 1
         if n <= 0:
@@ -62,10 +62,27 @@ def seeds(tokens: Tokens, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarra
             value *= np.uint64(0xD6E8FEB86659FD93)
             value += tokens.hashes[i : i + n]
         at = np.flatnonzero(text[:n] == text[len(mask) - 1 :])
-        out.append((mix64(value[at]), text[at], at - tokens.offsets[text[at]]))
-    if not out:
+        yield mix64(value[at]), text[at], at - tokens.offsets[text[at]]
+
+
+def _together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
         return np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def seeds(tokens: Tokens, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of all masks."""
+    return _together(list(seeds_by_mask(tokens, masks)))
+
+
+def probed(tokens: Tokens, masks: tuple[str, ...], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds that the benchmark may have. Short items bring dozens of masks, so no more than one mask's seeds are held."""
+    parts = []
+    for h, text, at in seeds_by_mask(tokens, masks):
+        found = bloom.probe(bitmap, h)
+        parts.append((h[found], text[found], at[found]))
+    return _together(parts)
 
 
 def masks_of(n: int, min_match: int) -> tuple[str, ...]:
@@ -148,10 +165,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             tokens = Tokens(batch.column("t").to_pylist())
-            h, text, at = seeds(tokens, masks)
-            found = bloom.probe(bitmap.value, h)
-            found = found[np.argsort(text[found], kind="stable")]
-            n = np.bincount(text[found], minlength=batch.num_rows)
+            h, text, at = probed(tokens, masks, bitmap.value)
+            found = np.argsort(text, kind="stable")
+            n = np.bincount(text, minlength=batch.num_rows)
             rows = np.flatnonzero(n)
             part = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t"), list_array(as_int64(h[found]), n[rows]), list_array(at[found].astype(np.int64), n[rows])], ["i", "t", "hs", "ps"])

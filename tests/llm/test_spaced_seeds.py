@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,3 +95,26 @@ def test_no_seed_is_lost_in_the_bitmap(spark, planted):
     h = np.array([r.h for r in seeds.collect()]).view(np.uint64)
     for b in bloom.bits(h):
         assert (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).all()
+
+
+def test_memory_of_the_search_does_not_grow_with_the_masks():
+    """Items of 5 to 16 tokens have 65 masks between them; a megabyte of text has 170,000 windows for each."""
+    rng = random.Random(41)
+    doc = S.Tokens([" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30_000)) for _ in range(6)])
+    masks = (*S.MASKS, *itertools.chain.from_iterable(S.masks_of(n, 13) for n in range(5, 17)))
+    h, text, at = S.seeds(doc, masks)
+    own = np.sort(np.random.default_rng(1).choice(len(h), 500, replace=False))
+    bits = np.zeros(1 << (bloom.BITS - 3), dtype=np.uint8)
+    for b in bloom.bits(h[own]):
+        np.bitwise_or.at(bits, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
+    want = bloom.probe(bits, h)
+    assert set(own) <= set(want) and len(want) < 2000
+    want = [x[want] for x in (h, text, at)]
+    del h, text, at
+    tracemalloc.start()
+    try:
+        got = S.probed(doc, masks, bits)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and peak < 30 << 20
