@@ -213,3 +213,43 @@ def test_components_by_all_tasks_and_by_one_are_the_same(spark):
     size = {i: 5 + (i % 3 == 0) for e in edges for i in e}
     df = spark.createDataFrame([(q, size[q], x, size[x]) for q, _, x, _ in rows], "q long, nq int, x long, nx int")
     assert rows_of(D._roots(df), "u", "root") == rows_of(D._roots(df, here=0), "u", "root")
+
+
+def test_names_of_texts_take_less_room_than_their_shingles_in_many_partitions(spark):
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, n=200)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    n = sum(len(shingles(t)) for _, t in rows)
+    sent = D._hashed(docs, 4, 400).where("NOT meta").selectExpr("sum(length(v) + length(w) + length(x) + length(y) + length(z))").first()[0]
+    assert sent < 14 * n  # 6 bytes a shingle are its hash
+
+
+def test_sets_are_the_same_however_shingles_are_cut(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in corpus], "i long, t string")
+    texts = {k: shingles(t) for k, t, *_ in corpus}
+    had = Counter(x for s in {t: texts[k] for k, t, *_ in corpus}.values() for x in s)
+    shared = {k: sum(had[x] > 1 for x in s) for k, s in texts.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, at_once in ((3, 1 << 21), (3, 500), (60, 100)):
+        monkeypatch.setattr(D, "AT_ONCE", at_once)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            found = [r for r in D._sets(docs, 4, 0.65).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(i for r in found for i in r.i) == sorted(texts)
+        for r in found:
+            assert all((r.n, len(r.s), len(set(r.s))) == (len(texts[i]), shared[i], shared[i]) for i in r.i)
+            assert r.p == max(0, min(shared[r.i[0]], int(0.35 * r.n + 1e-6) + 1 - (r.n - len(r.s))))
+
+
+def test_bitmaps_rule_out_pairs_that_share_a_passage_and_none_that_hold(spark, corpus):
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in corpus], "i long, t string")
+    sets = D._sets(docs, 4, 0.65).localCheckpoint()
+    held = {r.u: (r.n, set(r.s)) for r in sets.collect() if r.s}
+    pairs = {(q, x): len(a & b) / n for q, (n, a) in held.items() for x, (_, b) in held.items() if q != x and a & b}
+    rows = spark.createDataFrame(list(pairs), "q long, x long")
+    left = {(r.q, r.x) for r in D._possible(rows, sets, 0.65).collect()}
+    assert left <= set(pairs) and {p for p, c in pairs.items() if c >= 0.65} <= left
+    out = [p for p, c in pairs.items() if c < 0.35]
+    assert len(out) > 1000 and len(left.intersection(out)) < 0.1 * len(out)
