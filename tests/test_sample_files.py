@@ -13,6 +13,7 @@ from .compare import connect, same
 #: Queries on tables without the records' cells, and those on tables with them.
 WITHOUT_TEXT = [
     "vcf_file_metadata",
+    "vcf_header_lines",
 ]
 WITH_TEXT: list[str] = []
 
