@@ -14,6 +14,7 @@ from .compare import connect, same
 WITHOUT_TEXT = [
     "vcf_file_metadata",
     "vcf_header_lines",
+    "map_file",
 ]
 WITH_TEXT: list[str] = []
 
