@@ -15,6 +15,7 @@ WITHOUT_TEXT = [
     "vcf_file_metadata",
     "vcf_header_lines",
     "map_file",
+    "map_header",
 ]
 WITH_TEXT: list[str] = []
 
