@@ -16,6 +16,7 @@ WITHOUT_TEXT = [
     "vcf_header_lines",
     "map_file",
     "map_header",
+    "map_header_line",
 ]
 WITH_TEXT: list[str] = []
 
