@@ -17,6 +17,7 @@ WITHOUT_TEXT = [
     "map_file",
     "map_header",
     "map_header_line",
+    "map_line",
 ]
 WITH_TEXT: list[str] = []
 
