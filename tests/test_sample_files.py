@@ -18,6 +18,7 @@ WITHOUT_TEXT = [
     "map_header",
     "map_header_line",
     "map_line",
+    "batch_layout",
 ]
 WITH_TEXT: list[str] = []
 
