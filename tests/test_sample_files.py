@@ -20,7 +20,9 @@ WITHOUT_TEXT = [
     "map_line",
     "batch_layout",
 ]
-WITH_TEXT: list[str] = []
+WITH_TEXT = [
+    "vcf_records",
+]
 
 
 def plan_of(df):
