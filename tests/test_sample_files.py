@@ -22,6 +22,7 @@ WITHOUT_TEXT = [
 ]
 WITH_TEXT = [
     "vcf_records",
+    "map_record",
 ]
 
 
