@@ -23,6 +23,7 @@ WITHOUT_TEXT = [
 WITH_TEXT = [
     "vcf_records",
     "map_record",
+    "map_call",
 ]
 
 
