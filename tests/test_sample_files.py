@@ -24,6 +24,7 @@ WITH_TEXT = [
     "vcf_records",
     "map_record",
     "map_call",
+    "map_file_record",
 ]
 
 
