@@ -25,6 +25,7 @@ WITH_TEXT = [
     "map_record",
     "map_call",
     "map_file_record",
+    "aggregate_layout",
 ]
 
 
