@@ -26,6 +26,7 @@ WITH_TEXT = [
     "map_call",
     "map_file_record",
     "aggregate_layout",
+    "dictionary_round_trip",
 ]
 
 
