@@ -129,3 +129,26 @@ def test_forbidden_characters_of_an_iri_are_encoded(spark):
     rows = spark.createDataFrame([("urn:a b",), ("urn:<x>|^`{}\\\"",), ("urn:ok#é%20",)], "v string")
     got = [r[0] for r in rows.select(ntriples.valid_iri(F.col("v"))).collect()]
     assert got == ["urn:a%20b", "urn:%3Cx%3E%7C%5E%60%7B%7D%5C%22", "urn:ok#é%20"]
+
+
+def test_counts_by_predicate_are_those_of_the_triples(spark):
+    """Rows with null columns make no triple, empty values none on request; joins are counted, too."""
+    from pyspark.sql import functions as F
+
+    from strandloom.plans.compiler import compile_mapping, count_by_predicate
+    from strandloom.plans.mapping import Join, Term, TriplesMap, iri
+
+    rows = [("a", "1", "x"), ("b", None, "y"), (None, "2", "z"), ("c", "3", ""), ("c", "3", None)]
+    tables = {"t": spark.createDataFrame(rows, "k string, n string, v string"), "u": spark.createDataFrame([("a",), (None,)], "k string")}
+    key = Term(template="file://{k}", kind="iri")
+    maps = [
+        TriplesMap("t", "t", key, ("v:T", "v:S"), ((iri("v:n"), Term(reference="n")), (iri("v:v"), Term(reference="v")), (iri("v:link"), Term(template="file://{k}/{n}", kind="iri")))),
+        TriplesMap("u", "u", key, ("v:T",), ((iri("v:v"), Term(constant="")), (iri("v:none"), Term(template="{k}{k}")))),
+    ]
+    joined = [*maps, TriplesMap("j", "u", key, (), ((iri("v:link"), Join("t", (("k", "k"),))),))]
+    for chosen, empty in ((maps, False), (maps, True), (joined, False)):
+        want = compile_mapping(chosen, tables, empty).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        found = count_by_predicate(chosen, tables, empty)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = count_by_predicate(maps, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_kind" not in plan and "file://" not in plan

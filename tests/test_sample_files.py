@@ -27,6 +27,7 @@ WITH_TEXT = [
     "map_file_record",
     "aggregate_layout",
     "dictionary_round_trip",
+    "graph_triple_counts",
 ]
 
 
@@ -73,3 +74,13 @@ def uneven(tmp_path_factory):
 @pytest.mark.parametrize("name", ["vcf_records", "vcf_sample_format_values", "vcf_strict_calls"])
 def test_files_of_any_width_equal_their_sql(spark, uneven, name):
     assert same(own.queries()[name](spark, uneven), connect(uneven), own.oracle_sql()[name]) >= 1500
+
+
+def test_samples_are_exploded_by_number(spark, sf):
+    """No function runs over a record's samples one by one, and no record is read for its file's names."""
+    tables = own._tables(spark, sf)
+    for name in ("sample_calls", "sample_format_values"):
+        plan = plan_of(tables[name])
+        assert "lambdafunction(named_struct" not in plan and "explode(sequence(1" in plan
+    counted = plan_of(tables["sample_format_values"].agg(F.count(F.lit(1))))
+    assert "split(SAMPLE_PAYLOAD" not in counted
