@@ -87,3 +87,13 @@ def test_json_totals_and_triplets(spark):
 def test_line_count(spark):
     lines = [("f", x) for x in ("<s> <p> <o> .", "# comment.", "", "<s> <p> 'x' .  ")] + [("g", "<s> <p> <o> .")]
     assert {tuple(r) for r in ntriples.count_lines(spark.createDataFrame(lines, "file string, value string")).collect()} == {("f", 2), ("g", 1), ("TOTAL", 3)}
+
+
+def test_sizes_and_durations_equal_their_sql_beyond_a_petabyte(spark, tmp_path):
+    from strandloom.plans import queries as own
+
+    from .compare import connect, same
+
+    spark.range(0, 9_000_000, 17_989).selectExpr("id AS o_orderkey").toPandas().to_parquet(tmp_path / "orders.parquet")
+    assert same(own.queries()["sizes_and_durations"](spark, str(tmp_path)), connect(str(tmp_path)), own.oracle_sql()["sizes_and_durations"]) == 501
+    assert one(spark, lambda c: C.format_bytes(c, "TB"), 3 * 1024**5, "long") == "3072.00 TB" and one(spark, C.format_bytes, 3 * 1024**5, "long") == "3.00 PB"
