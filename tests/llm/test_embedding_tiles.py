@@ -98,3 +98,21 @@ def test_the_query_has_a_row_a_vector_and_equals_its_sql(spark, tmp_path):
         df.toPandas().to_parquet(folder / "embeddings.parquet")
         found = queries.op3_embedding_tiles(spark, str(folder))
         assert same(found, connect(str(folder)), queries.oracle_sql()["op3_embedding_tiles"]) == n
+
+
+def test_small_groups_are_joined_before_tiles_are_moved(spark, monkeypatch):
+    """A tile goes to a bounded number of groups, whatever number of tiles was asked for; the pairs stay the same."""
+    x = vectors(1500)
+    df = table(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+    moved, cut = [], E.cut
+
+    def counted(made):
+        kept = cut(made)
+        if "tile" in kept.columns:
+            moved.append(kept.select("g").distinct().count())
+        return kept
+
+    monkeypatch.setattr(E, "cut", counted)
+    got = {(r.vec_a, r.vec_b) for r in E.similar_pairs(df, 0.35, 16, 2, lead=4).collect()}
+    assert got == brute(list(range(len(x))), x, 0.35)
+    assert moved == [12]
