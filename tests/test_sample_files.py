@@ -28,6 +28,7 @@ WITH_TEXT = [
     "aggregate_layout",
     "dictionary_round_trip",
     "graph_triple_counts",
+    "vcf_strict_calls",
 ]
 
 
