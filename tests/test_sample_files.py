@@ -29,6 +29,7 @@ WITH_TEXT = [
     "dictionary_round_trip",
     "graph_triple_counts",
     "vcf_strict_calls",
+    "vcf_sample_calls",
 ]
 
 
